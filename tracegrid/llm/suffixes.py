@@ -209,7 +209,8 @@ def find_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     items = materialise(items, "items")
     verdicts = []
     for cell in (*CELLS, None):
-        sizes = items.groupBy("grp").agg(F.sum(F.octet_length("body").cast("long")).alias("size"), F.sum("times").alias("all"))
+        distinct = items.groupBy("grp", "piece").agg(F.sum("times").alias("times"), F.first(F.octet_length("body").cast("long")).alias("bytes"))
+        sizes = distinct.groupBy("grp").agg(F.sum("bytes").alias("size"), F.sum("times").alias("all"))
         heavy = items.join(sizes.filter(F.col("size") > HEAVY).select("grp"), "grp", "left_semi") if cell else None
         light = items.join(sizes.filter(F.col("size") <= HEAVY), "grp") if cell else items.join(sizes, "grp")
         verdicts.append(judged(light, least))
