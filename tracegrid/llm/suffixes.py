@@ -242,9 +242,12 @@ def judged(items: DataFrame, least: int) -> DataFrame:
         if held:
             yield from settle(held, least)
 
-    once = items.filter("all > 1 OR off = 0").groupBy("grp", "piece").agg(F.sum("times").alias("times"), F.first("body").alias("body"))
-    dealt = once.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp").sortWithinPartitions("grp")
-    found = map_rows(dealt, "grp long, piece binary, found array<bigint>", rows)
+    # a group of one context, met more than once, needs no sorting: its windows occur as often as it does
+    # (met once, a whole context may still repeat within itself; a cell of one cannot)
+    once = items.groupBy("grp", "piece").agg(F.sum("times").alias("times"), F.first("all").alias("all"), F.first("body").alias("body"), F.min("off").alias("off"))
+    alone = once.filter("times = all AND times > 1").select("grp", "piece", F.array(F.lit(0).cast("long"), (F.octet_length("body") - least + 1).cast("long")).alias("found"))
+    dealt = once.filter("times < all OR (times = 1 AND off = 0)").select("grp", "piece", "times", "body").repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp").sortWithinPartitions("grp")
+    found = map_rows(dealt, "grp long, piece binary, found array<bigint>", rows).unionByName(alone)
     return items.select("grp", "piece", "anchor", "root", "off").join(found, ["grp", "piece"]).select("anchor", "root", "off", "found")
 
 
