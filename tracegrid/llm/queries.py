@@ -63,3 +63,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_embedding_neardup, op2_byte_bpe, op3_toxicity, op4_fingerprints, op5_best_fit_packing, op6_warc, op7_line_dedup, op8_suffix_dedup, op9_url_reputation, op10_minhash_neardup, pipeline)
 }
+
+ORACLES: dict[str, str] = {}
