@@ -41,8 +41,8 @@ def strength(n: str, bad: str, prior: str) -> Column:
     spread = F.sum(F.pow(F.col(bad) - weight * p, 2))
     within = F.sum(weight * p * (1 - p))
     pairs = F.sum(weight * (weight - 1) * p * (1 - p))
-    rho = (spread - within) / pairs
-    return F.coalesce(F.when(rho <= 0, F.lit(MOST_STRENGTH)).otherwise(F.greatest(F.lit(LEAST_STRENGTH), F.least(F.lit(MOST_STRENGTH), 1 / rho - 1))), F.lit(MOST_STRENGTH))
+    rho = F.try_divide(spread - within, pairs)
+    return F.coalesce(F.when(rho <= 0, F.lit(MOST_STRENGTH)).otherwise(F.greatest(F.lit(LEAST_STRENGTH), F.least(F.lit(MOST_STRENGTH), F.try_divide(F.lit(1.0), rho) - 1))), F.lit(MOST_STRENGTH))
 
 
 def reputations(urls: DataFrame, outcomes: DataFrame) -> DataFrame:
