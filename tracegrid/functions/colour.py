@@ -77,11 +77,17 @@ def prototypes(colours: tuple) -> list[tuple[int, int, int]]:
     return out
 
 
+def to_colours(h: Column, s: Column, v: Column, colours: tuple, use) -> Column:  # noqa: ANN001
+    """use(array of squared distances to the colours); the pixel's hue, saturation and value are computed once."""
+    near = F.array(*[F.struct(*[F.lit(c).alias(n) for c, n in zip(p, "hsv", strict=True)]) for p in prototypes(colours)])
+    pixel = F.array(F.struct(h.alias("h"), s.alias("s"), v.alias("v")))
+    return F.element_at(F.transform(pixel, lambda q: use(F.transform(near, lambda p: hsv_distance2(q["h"], q["s"], q["v"], p["h"], p["s"], p["v"])))), 1)
+
+
 def knn_distance(h: Column, s: Column, v: Column, colours: tuple, k: int) -> Column:
     """Root of the mean of the k smallest squared distances to the colours; an array expression, so no join and no shuffle."""
-    near = F.array_sort(F.array(*[hsv_distance2(h, s, v, *map(F.lit, p)) for p in prototypes(colours)]))
     k = min(k, len(colours))
-    return F.sqrt(F.aggregate(F.slice(near, 1, k), F.lit(0.0), lambda a, d: a + d) / float(k))
+    return to_colours(h, s, v, colours, lambda d: F.sqrt(F.aggregate(F.slice(F.array_sort(d), 1, k), F.lit(0.0), lambda a, x: a + x) / float(k)))
 
 
 def adjusted(f: tuple[Column, Column, Column], space: str, sat: Column, val: Column, contrast: Column) -> tuple[Column, ...]:

@@ -1,7 +1,6 @@
 """File names: normal form and the best fuzzy match among siblings."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +25,6 @@ def norm_text(name: str) -> str:
 
 def resolve(wanted: DataFrame, siblings: DataFrame, least: float = 0.72) -> DataFrame:
     """wanted (folder, name) with match and ratio: the most similar sibling (folder, file) by matching blocks of the normal names, if above least."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

@@ -125,7 +125,7 @@ def spike_two_pass(curves: DataFrame, config: EngineConfig = EngineConfig(), key
         tried.append(F.when(good, F.struct((off / F.greatest(room * config.spike_factor, F.lit(1e-12))).alias("s"), F.lit(-number).alias("n"))))
     held = held.withColumn("_best", F.when(F.col("_y4").isNotNull(), F.array_max(F.array_compact(F.array(*tried)))))
     pair_of = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in PAIRS])
-    held = held.withColumn("_pair", F.element_at(pair_of, 1 - F.col("_best.n")))
+    held = held.withColumn("_pair", F.when(F.col("_best").isNotNull(), F.element_at(pair_of, 1 - F.coalesce(F.col("_best.n"), F.lit(0)))))
     hit = F.lit(False)
     for back in range(5):
         hit |= F.coalesce(F.array_contains(F.lag("_pair", back).over(order) if back else F.col("_pair"), back), F.lit(False))

@@ -12,6 +12,10 @@ from tracegrid.functions import colour, geometry
 from tracegrid.functions.geometry import Frame
 
 
+def nothing(*names: str) -> pd.DataFrame:
+    return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
+
+
 def rgb() -> tuple[Column, Column, Column]:
     return F.col("r"), F.col("g"), F.col("b")
 
@@ -90,7 +94,7 @@ def assign_corners(points: DataFrame) -> DataFrame:
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         names = ("tl", "tr", "bl", "br")
         if len(frame) != 3:
-            return pd.DataFrame({"image_id": [], "corner": [], "x": [], "y": [], "inferred": []})
+            return nothing("image_id", "corner", "x", "y", "inferred")
         frame = frame.sort_values("p")
         xy = frame[["x", "y"]].to_numpy(float)
         (x0, y0), (x1, y1) = xy.min(0), xy.max(0)
@@ -219,7 +223,7 @@ def legend_box(points: DataFrame, width: int, height: int, shares: tuple = (0.15
                         gap = np.hypot(np.maximum(np.maximum(a - px, 0), px - c), np.maximum(np.maximum(b - py, 0), py - d))[out]
                         if gap.min() >= far:
                             return pd.DataFrame([(frame["image_id"].iloc[0], a, b, c, d)], columns=["image_id", "x0", "y0", "x1", "y1"])
-        return pd.DataFrame({"image_id": [], "x0": [], "y0": [], "x1": [], "y1": []})
+        return nothing("image_id", "x0", "y0", "x1", "y1")
 
     return points.select("image_id", "x", "y").distinct().groupBy("image_id").applyInPandas(kernel, f"image_id {dict(points.dtypes)['image_id']}, x0 int, y0 int, x1 int, y1 int")
 

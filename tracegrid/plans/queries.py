@@ -22,7 +22,6 @@ ORACLES: dict[str, str] = {}
 LOOSE = EngineConfig(red_min=128, red_other_max=127)
 #: Spike and rolling thresholds under which the noisy view has both kept and dropped points.
 NOISY = replace(EngineConfig(), spike_factor=1.2, spike_pair=2.0, rolling_sigma=1.5, rolling_window=11)
-R, G, B = pixels.rgb()
 
 
 def query(sql: str | None = None, base: str = ""):  # noqa: ANN201
@@ -54,7 +53,7 @@ INSIDE = f"{TX} BETWEEN 0 AND 1 AND {TY} BETWEEN 0 AND 1"
 
 
 def red_mask(spark: SparkSession, d: str) -> DataFrame:
-    return pixel_view(spark, d).filter(colour.strict_red(R, G, B, 128, 127))
+    return pixel_view(spark, d).filter(colour.strict_red(*pixels.rgb(), 128, 127))
 
 
 @query(f"SELECT image_id, pix_idx FROM pixels WHERE {RED_SQL}", PIXELS_SQL)
@@ -64,18 +63,18 @@ def strict_red_mask(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT image_id, x, y, CASE WHEN {RED_SQL} THEN 0 ELSE b END AS b, CASE WHEN {RED_SQL} THEN 0 ELSE g END AS g, CASE WHEN {RED_SQL} THEN 0 ELSE r END AS r FROM pixels", PIXELS_SQL)
 def remove_strict_red(spark: SparkSession, d: str) -> DataFrame:
-    red = colour.strict_red(R, G, B, 128, 127)
+    red = colour.strict_red(*pixels.rgb(), 128, 127)
     return pixel_view(spark, d).select("image_id", "x", "y", *[F.when(red, 0).otherwise(F.col(c)).alias(c) for c in "bgr"])
 
 
 @query(f"SELECT image_id, pix_idx FROM hsv WHERE {GRAY_SQL}", f"{PIXELS_SQL}, {HSV_SQL}")
 def grayscale_mask(spark: SparkSession, d: str) -> DataFrame:
-    return pixel_view(spark, d).filter(colour.grayscale(R, G, B)).select("image_id", "pix_idx")
+    return pixel_view(spark, d).filter(colour.grayscale(*pixels.rgb())).select("image_id", "pix_idx")
 
 
 @query(f"SELECT image_id, pix_idx FROM pixels WHERE {LUM_SQL}", PIXELS_SQL)
 def luminance_gate(spark: SparkSession, d: str) -> DataFrame:
-    return pixel_view(spark, d).filter(colour.luminance_gate(R, G, B)).select("image_id", "pix_idx")
+    return pixel_view(spark, d).filter(colour.luminance_gate(*pixels.rgb())).select("image_id", "pix_idx")
 
 
 @query(f"SELECT image_id, pix_idx FROM hsv WHERE {LUM_SQL} AND NOT {GRAY_SQL} AND {INSIDE} AND {SEG_X} > 3 AND {SEG_Y} > 3", f"{PIXELS_SQL}, {HSV_SQL}")
@@ -99,7 +98,7 @@ PROTO = f"{proto_sql('purple', colour.PURPLE)}, {proto_sql('red', colour.RED)}"
 @query(f"SELECT image_id, pix_idx, round(min({D2}), 6) AS d2 FROM hsv, purple GROUP BY ALL", f"{PIXELS_SQL}, {HSV_SQL}, {PROTO}")
 def hsv_prototype_distance(spark: SparkSession, d: str) -> DataFrame:
     h, s, v = F.col("h"), F.col("s"), F.col("v")
-    near = F.array_min(F.array(*[colour.hsv_distance2(h, s, v, *map(F.lit, p)) for p in colour.prototypes(colour.PURPLE)]))
+    near = colour.to_colours(h, s, v, colour.PURPLE, F.array_min)
     return pixels.with_hsv(pixel_view(spark, d)).select("image_id", "pix_idx", r6(near).alias("d2"))
 
 
@@ -132,7 +131,7 @@ NORM_SQL = "norm AS (SELECT image_id, " + ", ".join(f"min({f}) AS {f}_offset, gr
 
 
 def lab_table(spark: SparkSession, d: str) -> DataFrame:
-    return pixel_view(spark, d).select("image_id", "pix_idx", *[c.alias(n) for n, c in zip(F3, colour.lab(R, G, B), strict=True)])
+    return pixel_view(spark, d).select("image_id", "pix_idx", *[c.alias(n) for n, c in zip(F3, colour.lab(*pixels.rgb()), strict=True)])
 
 
 @query("SELECT image_id, pix_idx, round(f0, 6) AS f0, round(f1, 6) AS f1, round(f2, 6) AS f2 FROM lab", f"{PIXELS_SQL}, {LAB_SQL}")
@@ -342,7 +341,7 @@ def icm_jacobi_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def icm_exact(spark: SparkSession, d: str) -> DataFrame:
     p = pixel_view(spark, d)
-    f = [c.alias(n) for n, c in zip(F3, colour.lab(R, G, B), strict=True)]
+    f = [c.alias(n) for n, c in zip(F3, colour.lab(*pixels.rgb()), strict=True)]
     return pixels.icm_exact(p.select("image_id", "x", "y", F.floor(F.col("r") / 64).cast("int").alias("label"), *f), F3, replace(EngineConfig(), icm_sweeps=5))
 
 
@@ -419,12 +418,12 @@ def monotone_clip(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT k.image_id, k.curve_idx, k.pt_idx, round(k.x, 6) AS x, round(min(v), 5) AS y FROM curves k JOIN (SELECT i.curve_idx, i.pt_idx AS i, k.pt_idx AS k, max(m.a) AS v FROM curves i JOIN curves k ON i.curve_idx = k.curve_idx AND i.pt_idx <= k.pt_idx
+    """SELECT k.image_id, k.curve_idx, k.pt_idx, round(k.x, 6) AS x, round(min(v) + 1e-7, 5) AS y FROM curves k JOIN (SELECT i.curve_idx, i.pt_idx AS i, k.pt_idx AS k, max(m.a) AS v FROM curves i JOIN curves k ON i.curve_idx = k.curve_idx AND i.pt_idx <= k.pt_idx
  JOIN (SELECT p.curve_idx, p.pt_idx AS i, q.pt_idx AS j, (q.c - p.c + p.y) / (q.pt_idx - p.pt_idx + 1) AS a FROM cum p JOIN cum q ON p.curve_idx = q.curve_idx AND p.pt_idx <= q.pt_idx) m ON m.curve_idx = i.curve_idx AND m.i = i.pt_idx AND m.j >= k.pt_idx GROUP BY ALL) b ON b.curve_idx = k.curve_idx AND b.k = k.pt_idx GROUP BY ALL""",
     CURVES_SQL + ", cum AS (SELECT curve_idx, pt_idx, y, sum(y) OVER (PARTITION BY curve_idx ORDER BY pt_idx) AS c FROM curves)",
 )
 def monotone_pava(spark: SparkSession, d: str) -> DataFrame:
-    return curves.monotone_pava(curve_view(spark, d)).select("image_id", "curve_idx", "pt_idx", r6("x").alias("x"), F.round("y", 5).alias("y"))
+    return curves.monotone_pava(curve_view(spark, d)).select("image_id", "curve_idx", "pt_idx", r6("x").alias("x"), F.round(F.col("y") + 1e-7, 5).alias("y"))
 
 
 @query(
