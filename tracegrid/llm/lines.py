@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tracegrid.llm.text import clean, map_rows, mix64, row_key
 from tracegrid.session import materialise, ship
@@ -48,9 +50,9 @@ def without(text: str, numbers: set[int]) -> tuple[str, int]:
     return "\n".join(kept), gone
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), drop: the numbers of the chunks to remove. Of equal chunks that of the smallest
-    (doc_id, key, number) stays; hashes are 128 bits wide, and only where all bytes under a hash are equal is anything removed."""
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """docs with _drop: the numbers of the chunks that occur before, or null. Written once, as the bytes behind the hashes are
+    compared before anything is removed. Of equal chunks that of the smallest (doc_id, hash of the text, number) stays."""
     id_type = dict(docs.dtypes)["doc_id"]
     base = clean(docs.filter("doc_id IS NOT NULL AND instr(text, '\\n') > 0")).withColumn("key", row_key())
 
@@ -61,20 +63,24 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
     seen = materialise(map_rows(base, f"doc_id {id_type}, key long, k int, h binary", found, per_batch=20_000), "chunks")
     first = seen.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "k")).alias("first")).filter("n > 1")
-    spots = materialise(seen.join(first, "h"), "spots")
+    spots = seen.join(first, "h").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
+        F.collect_set("k").alias("_all"), F.collect_set(F.when(F.struct("doc_id", "key", "k") > F.col("first"), F.col("k"))).alias("_drop")
+    )
+    joined = docs.join(spots, (docs["doc_id"] == spots["_id"]) & (row_key() == spots["_key"]), "left").drop("_id", "_key")
+    joined = materialise(joined, "lines")
 
     def bodies(source: Iterator[dict]) -> Iterator[tuple]:
         for r in source:
-            wanted = set(r["ks"])
+            wanted = set(r["_all"])
             for k, body in multi_line(r["text"]):
                 if k in wanted:
                     yield xxhash.xxh3_128_digest(body), body
 
-    per_doc = spots.groupBy("doc_id", "key").agg(F.collect_set("k").alias("ks"))
-    asked = base.join(per_doc, ["doc_id", "key"])
-    equal = map_rows(asked, "h binary, body binary", bodies).groupBy("h").agg((F.min("body") == F.max("body")).alias("equal")).filter("equal").select("h")
-    later = spots.join(equal, "h").filter("struct(doc_id, key, k) > first")
-    return later.groupBy("doc_id", "key").agg(F.collect_set("k").alias("drop"))
+    held = joined.filter("_all IS NOT NULL").select("text", "_all")
+    unequal = map_rows(held, "h binary, body binary", bodies).groupBy("h").agg((F.min("body") != F.max("body")).alias("unequal")).filter("unequal")
+    if not unequal.isEmpty():
+        raise RuntimeError("different chunks share a 128-bit hash")
+    return joined.drop("_all")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -82,22 +88,26 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A multi-line chunk that occurs anywhere else (or again in its document) stays only at its first occurrence by doc_id. Rows
     without text, without doc_id or of one line are left alone; rows that repeat a doc_id and its text are treated alike. Columns
-    other than doc_id and text pass through, n_chars (if there) follows the text."""
+    other than doc_id and text pass through, n_chars (if there) follows the text. Chunks meet by 128-bit hashes and are compared
+    byte by byte; should two ever differ under one hash, the run stops and nothing is removed."""
     ship(docs.sparkSession)
-    drop = repeated_chunks(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("drop").alias("_drop"))
-    joined = docs.join(drop, (docs["doc_id"] == drop["_id"]) & (row_key() == drop["_key"]), "left").drop("_id", "_key")
-
-    @F.pandas_udf("text string, gone int")
-    def cut(text, drop):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.DataFrame([without(t, {int(x) for x in d}) for t, d in zip(text, drop, strict=True)], columns=["text", "gone"])
-
-    changed = joined.filter("_drop IS NOT NULL").withColumn("_cut", cut("text", "_drop"))
-    new = {"text": F.col("_cut.text")} | ({"n_chars": F.length("_cut.text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    changed = changed.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns], F.col("_cut.gone").alias("n_removed_lines"))
-    same = joined.filter("_drop IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).alias("n_removed_lines"))
-    return same.unionByName(changed)
+    out = StructType([*docs.schema.fields, StructField("n_removed_lines", IntegerType())])
+
+    names = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, drops = batch.column("text").to_pylist(), batch.column("_drop").to_pylist()
+            made = [without(t, set(d)) if d else (t, 0) for t, d in zip(texts, drops, strict=True)]
+            columns = {n: batch.column(n) for n in names}
+            columns["text"] = pa.array([t for t, _ in made], batch.column("text").type)
+            if "n_chars" in columns:
+                counts = columns["n_chars"].to_pylist()
+                columns["n_chars"] = pa.array([len(t) if d else c for (t, _), d, c in zip(made, drops, counts, strict=True)], columns["n_chars"].type)
+            columns["n_removed_lines"] = pa.array([g for _, g in made], pa.int32())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return with_repeats(docs).mapInArrow(cut, out)
 
 
 def line_report(docs: DataFrame) -> DataFrame:

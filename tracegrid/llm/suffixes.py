@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -322,25 +323,27 @@ def dedup_text(docs: DataFrame, least: int = LEAST) -> DataFrame:
     ship(docs.sparkSession)
     joined = with_spans(docs, least)
 
-    @F.pandas_udf("string")
-    def kept(text, spans):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        def one(t: str, s) -> str:  # noqa: ANN001
-            data = t.encode("utf-8", "surrogatepass")
-            whole = []
-            for a, b in merged([int(x) for x in s]):
-                while a < len(data) and data[a] & 0xC0 == 0x80:
-                    a += 1
-                while b < len(data) and data[b] & 0xC0 == 0x80 and b > a:
-                    b -= 1
-                whole.append((a, max(a, b)))
-            return cut(data, whole).decode("utf-8", "surrogatepass")
-
-        return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
-
     names = docs.columns
-    changed = joined.filter("_spans IS NOT NULL").withColumn("_text", kept("text", "_spans"))
-    new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    changed = changed.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in names])
-    return joined.filter("_spans IS NULL").select(*[F.col(f"`{c}`") for c in names]).unionByName(changed)
+
+    def one(t: str, spans: list[int]) -> str:
+        data = t.encode("utf-8", "surrogatepass")
+        whole = []
+        for a, b in merged(spans):
+            while a < len(data) and data[a] & 0xC0 == 0x80:
+                a += 1
+            while b < len(data) and data[b] & 0xC0 == 0x80 and b > a:
+                b -= 1
+            whole.append((a, max(a, b)))
+        return cut(data, whole).decode("utf-8", "surrogatepass")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column("_spans").to_pylist()
+            texts = [one(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
+            columns = {n: batch.column(n) for n in names}
+            columns["text"] = pa.array(texts, batch.column("text").type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t) if s else c for t, s, c in zip(texts, spans, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return joined.mapInArrow(kept, docs.schema)
