@@ -37,7 +37,7 @@ def windows(text: str | None) -> set[bytes]:
     return {PAD + w + PAD for w in (text or "").encode("utf-8", "surrogatepass").lower().split()}
 
 
-@lru_cache(CACHE)
+@lru_cache(40_000)
 def grams(window: bytes) -> frozenset[bytes]:
     """The byte n-grams of a window, and the window whole."""
     inner = window[1:-1]
@@ -106,6 +106,7 @@ def fit(toxic: list[str], ordinary: list[str], rate: float) -> Model:
     marked = [w for doc in sets[0] for w in sorted(doc) if grams(w) & telling]
     plain = [w for doc in sets[1][: max(1, len(sets[1]) // 4)] for w in sorted(doc)]
     plain = plain[:: max(1, len(plain) // 100_000)]
+    grams.cache_clear()
     a, b = dictionary(marked or [w for doc in sets[0] for w in sorted(doc)]), dictionary(plain)
     blank = Model(a[0], b[0], {}, ())
     lengths = Lengths(blank)
