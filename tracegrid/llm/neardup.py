@@ -38,18 +38,28 @@ def bands(signature: np.ndarray, n_bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bits(signature: np.ndarray) -> list[int]:
+    """A bit of each bin, as two 64-bit words: unlike bins differ in half of the bits."""
+    return np.packbits((mix64(signature) & np.uint64(1)).astype(np.uint8)).view(np.int64).tolist()
+
+
+#: Most differing bits of a pair at 0.8: a tenth, and six standard deviations of as many independent bits as the smaller set fills.
+FAR_BITS = "12.8 + 230.4 / sqrt(0.63 * least(na, nb, 128))"
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), set_key (128 bits of the whole set; null for an empty one), bands."""
+    """doc_id, n (set size), set_key (128 bits of the whole set; null for an empty one), bands, bits."""
 
     def rows(source: Iterator[dict]) -> Iterator[tuple]:
         for r in source:
             h = shingle_hashes(r["text"], width)
             if len(h):
-                yield r["doc_id"], len(h), xxhash.xxh3_128_digest(h.tobytes()), bands(one_permutation(h)).tolist()
+                signature = one_permutation(h)
+                yield r["doc_id"], len(h), xxhash.xxh3_128_digest(h.tobytes()), bands(signature).tolist(), bits(signature)
             else:
-                yield r["doc_id"], 0, None, None
+                yield r["doc_id"], 0, None, None, None
 
-    return map_rows(clean(docs), f"doc_id {dict(docs.dtypes)['doc_id']}, n int, set_key binary, bands array<bigint>", rows)
+    return map_rows(clean(docs), f"doc_id {dict(docs.dtypes)['doc_id']}, n int, set_key binary, bands array<bigint>, bits array<bigint>", rows)
 
 
 def similar(pairs: DataFrame, docs: DataFrame, width: int, threshold_percent: int) -> DataFrame:
@@ -74,19 +84,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_percent: int = 80
     bucket proposes a star from its smallest document to the others, so candidates grow with members, not with their square.
     Links are confirmed on whole sets. Links that a star leaves out matter only between different components: members of a
     bucket outside its commonest component then meet the bucket's other components, until whole sets have settled them too.
-    With 32 bands of 4 a pair at 0.8 shares a bucket but for one in 20 million.
+    With 32 bands of 4 a pair at 0.8 shares a bucket but for one in 20 million; pairs whose bits differ by six standard deviations
+    more than at 0.8 are not compared.
 
     Null or empty texts link with nothing and are kept; rows with a null doc_id too, with a null component. Rows of one doc_id
     are one document, linked by any of its texts. Other columns are ignored; an empty table gives an empty result."""
     ship(docs.sparkSession)
     sketch = materialise(sketches(docs, width), "sketch")
     nodes = materialise(
-        sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes"
+        sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes"
     )
-    members = nodes.select("id", "n", F.explode("bands").alias("bucket"))
-    centre = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
+    members = nodes.select("id", "n", F.col("bits")[0].alias("p"), F.col("bits")[1].alias("q"), F.explode("bands").alias("bucket"))
+    centre = members.groupBy("bucket").agg(F.min(F.struct("id", "n", "p", "q")).alias("c"), F.count("*").alias("size")).filter("size > 1")
     alike = "100L * least(na, nb) >= %dL * greatest(na, nb)" % threshold_percent
-    stars = members.join(centre, "bucket").select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
+    if threshold_percent >= 80:
+        alike += f" AND bit_count(pa ^ pb) + bit_count(qa ^ qb) <= {FAR_BITS}"
+    stars = members.join(centre, "bucket").select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"), F.col("c.p").alias("pa"), F.col("p").alias("pb"), F.col("c.q").alias("qa"), F.col("q").alias("qb"))
     stars = materialise(stars.filter("a <> b").filter(alike).select("a", "b").distinct(), "stars")
     links = materialise(similar(stars, docs, width, threshold_percent), "links")
     groups = connected_components(links)
@@ -94,9 +107,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_percent: int = 80
     placed = members.join(groups.withColumnRenamed("component", "g"), "id", "left").withColumn("g", F.coalesce("g", "id"))
     shares = placed.groupBy("bucket", "g").agg(F.count("*").alias("k"))
     mixed = shares.groupBy("bucket").agg(F.max_by("g", F.struct("k", "g")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = materialise(placed.join(mixed, "bucket").select("bucket", "id", "n", "g", "main"), "open")
-    few = open_.filter("g <> main").select("bucket", F.col("id").alias("x"), F.col("n").alias("na"), F.col("g").alias("gx"))
-    rest = open_.select("bucket", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("g").alias("gy"), "main")
+    open_ = materialise(placed.join(mixed, "bucket").select("bucket", "id", "n", "p", "q", "g", "main"), "open")
+    few = open_.filter("g <> main").select("bucket", F.col("id").alias("x"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("q").alias("qa"), F.col("g").alias("gx"))
+    rest = open_.select("bucket", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("q").alias("qb"), F.col("g").alias("gy"), "main")
     cross = few.join(rest, "bucket").filter("gx <> gy AND (gy = main OR x < y)").filter(alike)
     cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     cross = materialise(cross, "cross")
