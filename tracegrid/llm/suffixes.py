@@ -107,35 +107,33 @@ def boundaries(text: np.ndarray, order: np.ndarray, least: int, separator: int =
     interval whose right border is new has common prefix l there and goes on, so each border is met once. Strings with a separator
     are not extended."""
     n = len(text)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
     symbol = text[order - 1]
-    step = place[order - 1]
+    step = np.empty(n, np.int32 if n < 1 << 31 else np.int64)  # where the suffix one symbol longer stands: equal symbols keep their order
+    step[np.argsort(symbol, kind="stable")] = np.arange(n, dtype=step.dtype)
+    stretch = np.cumsum(np.concatenate([[0], symbol[1:] != symbol[:-1]]), dtype=step.dtype)
     border = np.zeros(n + 1, bool)
     border[0] = border[n] = True
-    lo, hi = np.array([0]), np.array([n])
+    lo, hi = np.array([0], step.dtype), np.array([n], step.dtype)
     for _ in range(least):
         if not len(lo):
             break
-        size = hi - lo
-        one = size == 1
-        single = lo[one]
-        single = single[symbol[single] != separator]
-        new_lo, new_hi = step[single], step[single] + 1
-        if not one.all():
-            many_lo, many = lo[~one], size[~one]
+        # one symbol before the whole interval: it goes on as it is
+        last = hi - 1
+        same = stretch[lo] == stretch[last]
+        going = same & (symbol[lo] != separator)
+        new_lo, new_hi = step[lo[going]], step[last[going]] + 1
+        if not same.all():
+            many_lo, many = lo[~same].astype(np.int64), (hi[~same] - lo[~same]).astype(np.int64)
             at = np.repeat(many_lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
             group = np.repeat(np.arange(len(many)), many)
             ok = symbol[at] != separator
             at, group = at[ok], group[ok]
             if len(at):
-                c, target = symbol[at].astype(np.int64), step[at]
-                key = group * 512 + c
-                by = np.argsort(key, kind="stable")
-                k, t = key[by], target[by]
+                k, at = np.divmod(np.sort((group * 512 + symbol[at]) * n + at), n)
+                t = step[at]
                 first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                new_lo = np.concatenate([new_lo, np.minimum.reduceat(t, first)])
-                new_hi = np.concatenate([new_hi, np.maximum.reduceat(t, first) + 1])
+                new_lo = np.concatenate([new_lo, t[first]])
+                new_hi = np.concatenate([new_hi, t[np.append(first[1:], len(t)) - 1] + 1])
         fresh = ~border[new_hi]
         lo, hi = new_lo[fresh], new_hi[fresh]
         border[hi] = True
