@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the multi-line chunks that an earlier document has."""
+    """Every document, without the runs of lines that an earlier document has."""
     return lines.dedup_lines(docs).drop("n_removed_lines")
 
 

@@ -329,6 +329,30 @@ def test_lines(spark):
     assert lines.dedup_lines(d.limit(0)).count() == 0
 
 
+def test_lines_are_whole_runs(spark):
+    rng = random.Random(4)
+    texts = ["\n".join(rng.choice(["", "", " ", *"abcdefghij"]) for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    passages = [[words(rng, 5) for _ in range(n)] for n in (2, 3, 4, 20)]
+    for p in passages:
+        texts += ["\n".join([words(rng, 5), *p, words(rng, 5)]) for _ in range(4)]
+    texts += [texts[-1], "a\na\na\na\na\na", "q\n\n\n\nr\ns", "t\nq\n\n\n\nr", "q\n\n\n\n\nr"]
+    seen = {}  # the first (text, line) of each run
+    parts = [t.split("\n") for t in texts]
+    runs = [(i, a, b) for i, p in enumerate(parts) for a in range(len(p)) for b in range(a + 2, len(p) + 1) if any(s.strip() for s in p[a:b])]
+    for i, a, b in runs:
+        seen.setdefault(tuple(parts[i][a:b]), (i, a))
+    gone = defaultdict(set)
+    for i, a, b in runs:
+        j, at = seen[tuple(parts[i][a:b])]
+        if j < i or a >= at + b - a:
+            gone[i].update(range(a, b))
+    out = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    got = {r["doc_id"]: (r["text"], r["n_removed_lines"]) for r in out}
+    assert got == {i: ("\n".join(s for k, s in enumerate(p) if k not in gone[i]), len(gone[i])) for i, p in enumerate(parts)}
+    for n, p in enumerate(passages):
+        assert all(len(gone[60 + 4 * n + k]) == len(p) for k in range(1, 4))
+
+
 def removed(plain, least):
     seen = Counter()
     for i, t in plain:

@@ -1,71 +1,76 @@
-"""Line deduplication over content-defined chunks: rolling hashes over line hashes choose boundaries that shifts do not move."""
+"""Line deduplication over runs of lines: the least runs of every place meet by hash, and a longer repeated run is the union of its least runs."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tracegrid.llm.text import clean, map_rows, mix64, row_key
+from tracegrid.llm.text import clean, map_rows, row_key
 from tracegrid.session import materialise, ship
 
-WINDOW, DIVISOR, LEAST_LINES = 2, 3, 2
 
+def prefixes(run: list[bytes]) -> Iterator[bytes]:
+    """The bytes of each prefix of two lines or more; equal lines in a row are counted, so a long blank stretch stays short."""
+    done, last, n = b"", run[0], 1
+    for line in run[1:]:
+        if line == last:
+            n += 1
+        else:
+            done, last, n = done + b"%d %s\n" % (n, last), line, 1
+        yield done + b"%d %s" % (n, last)
+
+
+def units(lines: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, line after the last, bytes) of the least runs: two lines that are not blank, or a blank line with all lines up to
+    the nearest one that is not, before it and after it. Every run of two lines or more, one of them not blank, is a union of these."""
+    full = [i for i, line in enumerate(lines) if line.strip()]
+    for i, j in zip([-1, *full], [*full, len(lines)], strict=True):
+        if i >= 0:
+            run = lines[i : j + 1] if j == i + 1 else lines[i:j]
+            for n, body in enumerate(prefixes(run), 2):
+                yield i, i + n, b">" + body
+        if j < len(lines) and j > i + 1:
+            for n, body in enumerate(prefixes(lines[i + 1 : j + 1][::-1]), 2):
+                yield j + 1 - n, j + 1, b"<" + body
 
-def chunks(text: str, window: int = WINDOW, divisor: int = DIVISOR) -> list[tuple[int, int]]:
-    """Line ranges of a text. A chunk ends after a line where the rolling hash of the last window line hashes is 0 mod divisor, so
-    what is cut depends on those lines alone, wherever they stand."""
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
-    rolled = np.zeros(len(h), np.uint64)
-    for back in range(window):
-        rolled[back:] += mix64(h[: len(h) - back] + np.uint64(back + 1))
-    ends = np.flatnonzero(mix64(rolled) % np.uint64(divisor) == 0) + 1
-    cuts = [0, *ends[ends < len(h)].tolist(), len(h)]
-    return list(zip(cuts, cuts[1:], strict=False))
+
+def split(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split(b"\n")
 
 
 def multi_line(text: str) -> Iterator[tuple[int, bytes]]:
-    """(number, bytes) of the chunks that have at least LEAST_LINES lines, one of them not blank."""
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    for k, (a, b) in enumerate(chunks(text)):
-        if b - a >= LEAST_LINES:
-            body = b"\n".join(lines[a:b])
-            if body.strip():
-                yield k, body
+    """(number, bytes) of the units."""
+    for k, (_, _, body) in enumerate(units(split(text))):
+        yield k, body
 
 
 def without(text: str, numbers: set[int]) -> tuple[str, int]:
-    lines, kept, gone = text.split("\n"), [], 0
-    for k, (a, b) in enumerate(chunks(text)):
-        if k in numbers:
-            gone += b - a
-        else:
-            kept += lines[a:b]
-    return "\n".join(kept), gone
+    lines = text.split("\n")
+    gone = {i for k, (a, b, _) in enumerate(units(split(text))) if k in numbers for i in range(a, b)}
+    return "\n".join(line for i, line in enumerate(lines) if i not in gone), len(gone)
 
 
 def with_repeats(docs: DataFrame) -> DataFrame:
-    """docs with _drop: the numbers of the chunks that occur before, or null. Written once, as the bytes behind the hashes are
-    compared before anything is removed. Of equal chunks that of the smallest (doc_id, hash of the text, number) stays."""
+    """docs with _drop: the numbers of the units that occur before, or null. Written once, as the bytes behind the hashes are
+    compared before anything is removed. Of equal units that of the smallest (doc_id, hash of the text, number) stays, whole: a
+    unit of the same text that overlaps it is no repeat."""
     id_type = dict(docs.dtypes)["doc_id"]
     base = clean(docs.filter("doc_id IS NOT NULL AND instr(text, '\\n') > 0")).withColumn("key", row_key())
 
     def found(source: Iterator[dict]) -> Iterator[tuple]:
         for r in source:
-            for k, body in multi_line(r["text"]):
-                yield r["doc_id"], r["key"], k, xxhash.xxh3_128_digest(body)
+            for k, (a, b, body) in enumerate(units(split(r["text"]))):
+                yield r["doc_id"], r["key"], k, a, b, xxhash.xxh3_128_digest(body)
 
-    seen = materialise(map_rows(base, f"doc_id {id_type}, key long, k int, h binary", found, per_batch=20_000), "chunks")
-    first = seen.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "k")).alias("first")).filter("n > 1")
-    spots = seen.join(first, "h").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
-        F.collect_set("k").alias("_all"), F.collect_set(F.when(F.struct("doc_id", "key", "k") > F.col("first"), F.col("k"))).alias("_drop")
-    )
+    seen = materialise(map_rows(base, f"doc_id {id_type}, key long, k int, a int, b int, h binary", found, per_batch=20_000), "units")
+    first = seen.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "k", "b")).alias("first")).filter("n > 1")
+    later = (F.struct("doc_id", "key", "k", "b") > F.col("first")) & ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("a") < F.col("first.b")))
+    spots = seen.join(first, "h").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set("k").alias("_all"), F.collect_set(F.when(later, F.col("k"))).alias("_drop"))
     joined = docs.join(spots, (docs["doc_id"] == spots["_id"]) & (row_key() == spots["_key"]), "left").drop("_id", "_key")
     joined = materialise(joined, "lines")
 
@@ -79,16 +84,16 @@ def with_repeats(docs: DataFrame) -> DataFrame:
     held = joined.filter("_all IS NOT NULL").select("text", "_all")
     unequal = map_rows(held, "h binary, body binary", bodies).groupBy("h").agg((F.min("body") != F.max("body")).alias("unequal")).filter("unequal")
     if not unequal.isEmpty():
-        raise RuntimeError("different chunks share a 128-bit hash")
+        raise RuntimeError("different runs of lines share a 128-bit hash")
     return joined.drop("_all")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with the repeated multi-line chunks removed from text, and n_removed_lines; every row stays.
+    """docs with the repeated runs of lines removed from text, and n_removed_lines; every row stays.
 
-    A multi-line chunk that occurs anywhere else (or again in its document) stays only at its first occurrence by doc_id. Rows
-    without text, without doc_id or of one line are left alone; rows that repeat a doc_id and its text are treated alike. Columns
-    other than doc_id and text pass through, n_chars (if there) follows the text. Chunks meet by 128-bit hashes and are compared
+    A run of two lines or more, one of them not blank, that occurs anywhere else (or again in its document) stays only at its first
+    occurrence by doc_id. Rows without text, without doc_id or of one line are left alone; rows that repeat a doc_id and its text are
+    treated alike. Columns other than doc_id and text pass through, n_chars (if there) follows the text. Runs meet by 128-bit hashes and are compared
     byte by byte; should two ever differ under one hash, the run stops and nothing is removed."""
     ship(docs.sparkSession)
     out = StructType([*docs.schema.fields, StructField("n_removed_lines", IntegerType())])
