@@ -230,6 +230,15 @@ def test_fingerprint_pairs(docs, plain):
     assert got <= want and union_find(shingles, got) == union_find(shingles, want)
 
 
+def test_fingerprint_pairs_of_one_signature(spark):
+    b = [f"w{k}" for k in range(1804)]  # 1800 shingles
+    c = b[:1604] + [f"v{k}" for k in range(200)]  # 1600 of them in 2000: just alike
+    own = fingerprints.text_signature(" ".join(b), 5)
+    a = next(t for t in (b[:p] + ["z"] + b[p + 1 :] for p in range(10, 1590)) if (fingerprints.text_signature(" ".join(t), 5) == own).all())
+    got = fingerprints.fingerprint_pairs(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "doc_id long, text string"))
+    assert {tuple(sorted(r)) for r in got.collect()} == {(1, 2), (2, 3)}
+
+
 def test_plan_is_best_fit():
     for seed in range(60):
         rng = random.Random(seed)
