@@ -72,6 +72,16 @@ def test_auto_colours_chart(spark, tmp_path):
     assert spans[0] < 15 < 25 < spans[1]
 
 
+def test_discover_returns_relabelled_centres(spark):
+    from tracegrid.operators import cluster
+
+    rows = [(1, x, y, y * 12 + x, float(x >= 6), 0.0, 0.0) for y in range(12) for x in range(12)]
+    rows = [(*r[:4], 1.0 - r[4], 0.0, 0.0) if (r[1], r[2]) in {(2, 3), (8, 8)} else r for r in rows]  # a speck in each half
+    df = spark.createDataFrame(rows, "image_id int, x int, y int, pix_idx int, f0 double, f1 double, f2 double")
+    got = sorted(r["c"][0] for r in cluster.discover(df, ["f0", "f1", "f2"], num_colours=2).collect())
+    assert np.allclose(got, [1 / 72, 71 / 72])
+
+
 def test_series_kernels():
     assert curves.falling_fit(np.array([3.0, 1, 2, 5, 4])).tolist() == [3.0, 3.0, 3.0, 3.0, 3.0]
     assert curves.prune_one(np.array([0, 0, 9.0, 0, 0])).tolist() == [True, True, False, True, True]

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracegrid.config import EngineConfig
+from tracegrid.operators.pixels import relabel
 from tracegrid.session import materialise
 
 
@@ -126,11 +128,12 @@ def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 50, tol
     return centres, code
 
 
-def discover(features: DataFrame, names: list[str], key: str = "image_id", num_colours: int = 0, k_max: int = 20, sample: int = 50_000, seed: int = 0) -> DataFrame:
-    """key, centre (from 1), c: the colour clusters of each image, k given or chosen by silhouette on a sample. A kernel per image."""
+def discover(features: DataFrame, names: list[str], key: str = "image_id", num_colours: int = 0, k_max: int = 20, sample: int = 50_000, seed: int = 0, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """key, centre (from 1), c: the colour clusters of each image, k given or chosen by silhouette on a sample; the centres
+    are those of the spatial relabelling after k-means. A kernel per image."""
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pix_idx")
+        frame = frame.sort_values(["y", "x"])
         rng = np.random.default_rng(seed)
         x = frame[names].to_numpy(float)
         k = num_colours
@@ -143,7 +146,8 @@ def discover(features: DataFrame, names: list[str], key: str = "image_id", num_c
                 if len(np.unique(code[few])) > 1:
                     best = max(best, (float(silhouette_values(part[few], code[few]).mean()), -tried))
             k = -best[1] if best[1] < 0 else 1
-        centres, _ = lloyd(x, min(k, len(x)), rng)
+        centres, code = lloyd(x, min(k, len(x)), rng)
+        _, centres = relabel(x, code, centres, frame["x"].to_numpy(), frame["y"].to_numpy(), config)
         return pd.DataFrame({key: frame[key].iloc[0], "centre": np.arange(1, len(centres) + 1), "c": list(centres)})
 
-    return features.select(key, "pix_idx", *names).groupBy(key).applyInPandas(kernel, f"{key} {dict(features.dtypes)[key]}, centre int, c array<double>")
+    return features.select(key, "x", "y", *names).groupBy(key).applyInPandas(kernel, f"{key} {dict(features.dtypes)[key]}, centre int, c array<double>")

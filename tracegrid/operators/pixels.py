@@ -138,32 +138,42 @@ def icm_jacobi_sweep(labels: DataFrame) -> DataFrame:
     return labels.join(votes, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("new", "label").alias("label"))
 
 
+def relabel(x: np.ndarray, code: np.ndarray, centres: np.ndarray, px: np.ndarray, py: np.ndarray, config: EngineConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and centres of one image's pixels, given in row-major order, after the sequential relabelling."""
+    code, centres = code.copy(), centres.copy()
+    if len(centres) < 2:
+        return code, centres
+    at = list(zip(px.tolist(), py.tolist(), strict=True))
+    place = {q: i for i, q in enumerate(at)}
+    around = [[place[q] for q in ((a + i, b + j) for j in (-1, 0, 1) for i in (-1, 0, 1) if i or j) if q in place] for a, b in at]
+    for _ in range(config.icm_sweeps):
+        changed = 0
+        cost = config.icm_colour * ((x[:, None] - centres) ** 2).sum(2)
+        for i, near in enumerate(around):
+            votes = np.bincount(code[near], minlength=len(centres)) if near else 0
+            best = int((cost[i] - config.icm_neighbour * votes).argmin())
+            changed += best != code[i]
+            code[i] = best
+        for k in range(len(centres)):
+            if (code == k).any():
+                centres[k] = x[code == k].mean(0)
+        if not changed:
+            break
+    return code, centres
+
+
 def icm_exact(labels: DataFrame, features: list[str], config: EngineConfig = EngineConfig()) -> DataFrame:
     """The sequential relabelling: pixels in row-major order see the labels already changed; centres are averaged anew each sweep.
     A kernel per image."""
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["y", "x"]).reset_index(drop=True)
-        x, lab = frame[features].to_numpy(float), frame["label"].to_numpy().copy()
+        x, lab = frame[features].to_numpy(float), frame["label"].to_numpy()
         names = np.unique(lab)
         if len(names) > 1:
             code = np.searchsorted(names, lab)
             centres = np.stack([x[code == k].mean(0) for k in range(len(names))])
-            place = {(a, b): i for i, (a, b) in enumerate(zip(frame["x"].tolist(), frame["y"].tolist(), strict=True))}
-            around = [[place[q] for q in ((a + i, b + j) for j in (-1, 0, 1) for i in (-1, 0, 1) if i or j) if q in place] for a, b in place]
-            for _ in range(config.icm_sweeps):
-                changed = 0
-                cost = config.icm_colour * ((x[:, None] - centres) ** 2).sum(2)
-                for i, near in enumerate(around):
-                    votes = np.bincount(code[near], minlength=len(names)) if near else 0
-                    best = int((cost[i] - config.icm_neighbour * votes).argmin())
-                    changed += best != code[i]
-                    code[i] = best
-                for k in range(len(names)):
-                    if (code == k).any():
-                        centres[k] = x[code == k].mean(0)
-                if not changed:
-                    break
+            code, _ = relabel(x, code, centres, frame["x"].to_numpy(), frame["y"].to_numpy(), config)
             lab = names[code]
         return frame.assign(label=lab)[["image_id", "x", "y", "label"]]
 

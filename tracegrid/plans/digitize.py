@@ -43,10 +43,10 @@ def auto_colours(table: DataFrame, frame: Frame, width: int, height: int, option
     features = valid.select("image_id", "x", "y", "pix_idx", *[c.alias(n) for n, c in zip(names, colour.lab(*pixels.rgb()), strict=True)])
     norm = materialise(cluster.normaliser(features, names, floor=config.norm_floor), "norm")
     scaled = materialise(cluster.normalise(features, norm, names), "features")
-    centres = materialise(cluster.discover(scaled, names, num_colours=options.num_colors, k_max=config.k_max, sample=config.sample_limit), "centres")
+    centres = materialise(cluster.discover(scaled, names, num_colours=options.num_colors, k_max=config.k_max, sample=config.sample_limit, config=config), "centres")
     near = pixels.valid_pixels(table, box, config.axes_margin_curve, config, options.exclude_grayscale)
     near = materialise(near.select("image_id", "x", "y", "pix_idx", *[c.alias(n) for n, c in zip(names, colour.lab(*pixels.rgb()), strict=True)]), "curve-pixels")
-    box_of = materialise(pixels.legend_box(scaled, width, height), "legend")
+    box_of = materialise(pixels.legend_box(near, width, height), "legend")
     near = pixels.legend_erase(near, box_of)
     packed = centres.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("centre", "c"))).alias("centres"))
 
