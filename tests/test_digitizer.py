@@ -72,6 +72,15 @@ def test_auto_colours_chart(spark, tmp_path):
     assert spans[0] < 15 < 25 < spans[1]
 
 
+def test_auto_query_is_uncut(monkeypatch):
+    from tracegrid.plans import queries
+
+    monkeypatch.setattr(queries, "ship", lambda spark: spark)
+    monkeypatch.setattr(queries, "pixel_view", lambda spark, d: None)
+    monkeypatch.setattr(digitize, "auto_colours", lambda table, frame, width, height, options, config=EngineConfig(): (options.num_colors, config))
+    assert queries.QUERIES["auto_colours_pipeline"](None, "") == (0, EngineConfig())
+
+
 def test_discover_returns_relabelled_centres(spark):
     from tracegrid.operators import cluster
 

@@ -628,4 +628,4 @@ def single_colour_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def auto_colours_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return digitize.auto_colours(pixel_view(spark, d), FRAME, SIDE, SIDE, DigitizeOptions(auto_colors=True, num_colors=3, k=40), replace(EngineConfig(), full_grid=EngineConfig().fast_grid | {"val": (0.8, 1.2)}))
+    return digitize.auto_colours(pixel_view(spark, d), FRAME, SIDE, SIDE, DigitizeOptions(auto_colors=True, k=40), EngineConfig())
