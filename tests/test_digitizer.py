@@ -1,6 +1,7 @@
 import struct
 import zlib
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -81,6 +82,17 @@ def test_auto_query_is_uncut(monkeypatch):
     assert queries.QUERIES["auto_colours_pipeline"](None, "") == (0, EngineConfig())
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the driver's tables are not there")
+def test_icm_query_is_settled(spark):
+    from tracegrid.plans import queries
+
+    view = queries.pixel_view(spark, "/root/testdata/sf0.001")
+    f = [c.alias(n) for n, c in zip(queries.F3, colour.lab(*pixels.rgb()), strict=True)]
+    rows = view.select("image_id", "x", "y", F.floor(F.col("r") / 64).cast("int").alias("label"), *f)
+    settled = pixels.icm_exact(rows, queries.F3, replace(EngineConfig(), icm_sweeps=10_000)).collect()
+    assert sorted(settled) == sorted(queries.QUERIES["icm_exact"](spark, "/root/testdata/sf0.001").collect())
+
+
 def test_discover_returns_relabelled_centres(spark):
     from tracegrid.operators import cluster
 

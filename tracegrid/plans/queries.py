@@ -342,7 +342,7 @@ def icm_jacobi_sweep(spark: SparkSession, d: str) -> DataFrame:
 def icm_exact(spark: SparkSession, d: str) -> DataFrame:
     p = pixel_view(spark, d)
     f = [c.alias(n) for n, c in zip(F3, colour.lab(*pixels.rgb()), strict=True)]
-    return pixels.icm_exact(p.select("image_id", "x", "y", F.floor(F.col("r") / 64).cast("int").alias("label"), *f), F3, replace(EngineConfig(), icm_sweeps=5))
+    return pixels.icm_exact(p.select("image_id", "x", "y", F.floor(F.col("r") / 64).cast("int").alias("label"), *f), F3)
 
 
 @query()
