@@ -4,6 +4,7 @@ from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,20 @@ def test_icm_query_is_settled(spark):
     assert sorted(settled) == sorted(queries.QUERIES["icm_exact"](spark, "/root/testdata/sf0.001").collect())
 
 
+def test_choice_of_k_scores_4000_points(monkeypatch):
+    from tracegrid.operators import cluster
+
+    sizes = []
+    monkeypatch.setattr(cluster, "silhouette_values", lambda x, labels: sizes.append(len(x)) or np.zeros(len(x)))
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame({"image_id": 1, "x": np.arange(5000) % 100, "y": np.arange(5000) // 100, **{n: rng.random(5000) for n in ("f0", "f1", "f2")}})
+    kernels = []
+    features = type("Features", (), {"dtypes": [("image_id", "int")], "select": lambda self, *n: self, "groupBy": lambda self, k: self, "applyInPandas": lambda self, kernel, schema: kernels.append(kernel)})()
+    cluster.discover(features, ["f0", "f1", "f2"], k_max=3, config=replace(EngineConfig(), icm_sweeps=1))
+    kernels[0](frame)
+    assert sizes == [4000, 4000]
+
+
 def test_discover_returns_relabelled_centres(spark):
     from tracegrid.operators import cluster
 

@@ -128,9 +128,9 @@ def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 50, tol
     return centres, code
 
 
-def discover(features: DataFrame, names: list[str], key: str = "image_id", num_colours: int = 0, k_max: int = 20, sample: int = 50_000, seed: int = 0, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """key, centre (from 1), c: the colour clusters of each image, k given or chosen by silhouette on a sample; the centres
-    are those of the spatial relabelling after k-means. A kernel per image."""
+def discover(features: DataFrame, names: list[str], key: str = "image_id", num_colours: int = 0, k_max: int = 20, sample: int = 50_000, seed: int = 0, config: EngineConfig = EngineConfig(), max_points: int = 4000) -> DataFrame:
+    """key, centre (from 1), c: the colour clusters of each image, k given or chosen by the silhouette of at most
+    max_points rows of a sample; the centres are those of the spatial relabelling after k-means. A kernel per image."""
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["y", "x"])
@@ -142,7 +142,7 @@ def discover(features: DataFrame, names: list[str], key: str = "image_id", num_c
             best = (-2.0, 1)
             for tried in range(2, min(k_max, len(np.unique(part, axis=0))) + 1):
                 _, code = lloyd(part, tried, rng)
-                few = np.arange(len(part)) if len(part) <= 1000 else rng.choice(len(part), 1000, replace=False)
+                few = np.arange(len(part)) if len(part) <= max_points else rng.choice(len(part), max_points, replace=False)
                 if len(np.unique(code[few])) > 1:
                     best = max(best, (float(silhouette_values(part[few], code[few]).mean()), -tried))
             k = -best[1] if best[1] < 0 else 1
