@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.session import materialise
+from tracegrid.session import discard, materialise, tidy
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -16,8 +16,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Raises if the edges still change after max_rounds (the rounds needed are about the logarithm of the largest component)."""
     step = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "cc")
     seen = None
+    spark = edges.sparkSession
     for _ in range(max_rounds):
-        found = step.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.xxhash64("v", "u") % 1_000_003).cast("decimal(38,0)"))).first()
+        with tidy(spark):
+            found = step.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.xxhash64("v", "u") % 1_000_003).cast("decimal(38,0)"))).first()
         if tuple(found) == seen or not found[0]:
             return step.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
                 step.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
@@ -28,5 +30,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        step = materialise(small.select("e.u", "e.v").filter("u <> v").distinct(), "cc")
+        spent, step = step, materialise(small.select("e.u", "e.v").filter("u <> v").distinct(), "cc")
+        discard(spent)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

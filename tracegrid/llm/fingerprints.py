@@ -7,12 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.llm.components import connected_components
-from tracegrid.llm.neardup import bands, similar
+from tracegrid.llm.neardup import find_links, set_nodes, sketches
 from tracegrid.llm.text import clean, map_rows, mix64, shingle_hashes
 from tracegrid.session import materialise, ship
 
@@ -39,41 +37,19 @@ def text_signature(text: str | None, width: int) -> np.ndarray:
     return signature(shingle_hashes(text, width))
 
 
-def fingerprint_pairs(docs: DataFrame, width: int = 5, threshold_percent: int = 80, n_bands: int = 32) -> DataFrame:
+def fingerprint_pairs(docs: DataFrame, width: int = 5, threshold_percent: int = 80) -> DataFrame:
     """Pairs (u, v) of near-duplicate documents: signature bands are joined in Spark, Jaccard is verified on whole shingle sets.
 
     The pairs connect all near-duplicates of a group; they do not list every pair of it. Documents of equal shingle sets meet
-    through their smallest doc_id (u) and enter the buckets once. A bucket proposes a star from its smallest document; members
-    that its verified links leave apart from the bucket's commonest component then meet the other components. Null doc_ids, null
-    and empty texts are in no pair."""
+    through their smallest doc_id (u) and enter the buckets once (set_nodes, find_links). Null doc_ids, null and empty texts are in
+    no pair."""
     ship(docs.sparkSession)
-
-    def rows(source: Iterator[dict]) -> Iterator[tuple]:
-        for r in source:
-            hashes = shingle_hashes(r["text"], width)
-            if len(hashes):
-                yield r["doc_id"], len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), bands(signature(hashes).astype(np.uint64), n_bands).tolist()
-
     usable = docs.filter("doc_id IS NOT NULL")
-    signed = materialise(map_rows(clean(usable), f"doc_id {dict(docs.dtypes)['doc_id']}, n int, set_key binary, bands array<bigint>", rows), "signed")
-    nodes = materialise(signed.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    same = signed.join(nodes.select("set_key", "id"), "set_key").filter("id <> doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    alike = "100L * least(na, nb) >= %dL * greatest(na, nb)" % threshold_percent
-    members = nodes.select("id", "n", F.explode("bands").alias("bucket"))
-    centre = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    stars = members.join(centre, "bucket").select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
-    stars = stars.filter("a <> b").filter(alike).select("a", "b")
-    links = materialise(similar(same.union(stars).distinct(), usable, width, threshold_percent), "links")
-    # buckets whose members are still apart
-    groups = connected_components(links).withColumnRenamed("component", "g")
-    placed = members.join(groups, "id", "left").withColumn("g", F.coalesce("g", "id"))
-    shares = placed.groupBy("bucket", "g").agg(F.count("*").alias("k"))
-    mixed = shares.groupBy("bucket").agg(F.max_by("g", F.struct("k", "g")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = materialise(placed.join(mixed, "bucket").select("bucket", "id", "n", "g", "main"), "open")
-    few = open_.filter("g <> main").select("bucket", F.col("id").alias("x"), F.col("n").alias("na"), F.col("g").alias("gx"))
-    rest = open_.select("bucket", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("g").alias("gy"), "main")
-    cross = few.join(rest, "bucket").filter("gx <> gy AND (gy = main OR x < y)").filter(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return links.unionByName(similar(cross.distinct(), usable, width, threshold_percent)).distinct()
+    signed = materialise(sketches(usable, width, lambda h: signature(h).astype(np.uint64)), "signed")
+    nodes = materialise(set_nodes(signed), "nodes")
+    links, _ = find_links(nodes, usable, width, threshold_percent)
+    same = signed.join(nodes.select("set_key", "id"), "set_key").filter("id <> doc_id").select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
+    return links.unionByName(same).distinct()
 
 
 def edited_fingerprints(docs: DataFrame, width: int = 5, rows_per_block: int = 2000) -> DataFrame:
