@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.llm.components import connected_components
-from tracegrid.session import materialise, ship
+from tracegrid.session import discard, materialise, ship
 
-CELL, SAMPLE, MAX_CELLS = 2000, 20_000, 1024
+CELL, SAMPLE, MAX_CELLS, AUDIT = 2000, 20_000, 1024, 0.125
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -109,12 +109,14 @@ def robust_prune(y: np.ndarray, rows: np.ndarray, near: np.ndarray, degree: int,
 
 
 def range_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, least: float, budget: int = 48, width: int = 4) -> np.ndarray:
-    """Greedy best-first search of the graph for each query row (an id), width nodes at a time: budget expansions to reach the
-    neighbourhood, then on while any visited vector within range is unexpanded. Boolean matrix of the hits."""
+    """Greedy best-first search of the graph for each query row (an id), width nodes at a time, from the entries and the query's own
+    node: budget expansions to reach the neighbourhood, then on while any visited vector within range is unexpanded. Boolean matrix
+    of the hits."""
     n = len(x)
     sims = np.full((len(queries), n), -np.inf)
     target = x[queries]
     sims[:, entries] = target @ x[entries].T
+    sims[np.arange(len(queries)), queries] = 1
     done = np.zeros((len(queries), n), bool)
     spent = 0
     active = np.arange(len(queries))
@@ -141,9 +143,17 @@ def range_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries:
     return sims >= least
 
 
-def search_block(x: np.ndarray, queries: np.ndarray, least: float, audit_share: float = 1.0) -> tuple[list[np.ndarray], int, int]:
-    """Hits of each query (ids, itself left out), and the audit: links that a scan of the block has, and how many the search had found.
-    The audited share of the queries is compared with the whole block; what the search missed is added, and counted."""
+def scan(x: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
+    """The hits of the queries by comparison with the whole block, themselves left out."""
+    out = x[queries] @ x.T >= least
+    out[np.arange(len(queries)), queries] = False
+    return out
+
+
+def search_block(x: np.ndarray, queries: np.ndarray, least: float, audit_share: float = AUDIT) -> tuple[list[np.ndarray], int, int]:
+    """Hits of each query (ids, itself left out) by the graph search, and the audit: the links that a scan has for the audited share of
+    the queries (the first of each thousand), and how many of them the search had found. Where it had missed any, the whole block
+    is scanned, so no miss that the audit can see stays in the result."""
     graph, entries = build_graph(x)
     hits: list[np.ndarray] = []
     true = found = 0
@@ -151,24 +161,26 @@ def search_block(x: np.ndarray, queries: np.ndarray, least: float, audit_share:
     for a in range(0, len(queries), step):
         q = queries[a : a + step]
         got = range_search(x, graph, entries, q, least - 1e-9)
+        got[np.arange(len(q)), q] = False
         looked = np.arange(a, a + len(q)) % 1000 < audit_share * 1000
-        exact = x[q] @ x.T >= least - 1e-9
-        for m in (got, exact):
-            m[np.arange(len(q)), q] = False
-        true += int(exact[looked].sum())
-        found += int((exact & got)[looked].sum())
-        got[looked] |= exact[looked]
+        if looked.any():
+            exact = scan(x, q[looked], least - 1e-9)
+            true += int(exact.sum())
+            found += int((exact & got[looked]).sum())
         hits += [np.flatnonzero(m) for m in got]
+    if found < true:
+        hits = [np.flatnonzero(m) for a in range(0, len(queries), step) for m in scan(x, queries[a : a + step], least - 1e-9)]
     return hits, true, found
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.98, cell: int = CELL, audit_share: float = 1.0) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.98, cell: int = CELL, audit_share: float = AUDIT) -> DataFrame:
     """vec_id, n_links, component_id, kept, audit_links, audit_found per row of vectors (vec_id, embedding, label).
 
     Only vectors of one label and one dimension are compared. Equal vectors are one node with a count. Each label is cut into
     cells around centres fitted on at most SAMPLE of its vectors; a vector is searched in its home cell, which also holds every
     vector that may be within range of one there, so no link crosses a border unseen. A cell of more than 4 * cell vectors is
-    dealt into blocks and each of its vectors is searched in every block. Links are verified in double precision.
+    dealt into blocks and each of its vectors is searched in every block. Links are found by the graph search of a block and verified
+    in double precision; a share of the queries is audited by a scan, and a block where the search had missed a link is scanned whole.
 
     Null, zero or non-finite vectors, null labels and null ids link with nothing: n_links 0, component_id = vec_id, kept.
     audit_links and audit_found say, for the vector's cell, how many links the audit saw and how many the graph search had found.
@@ -205,7 +217,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, cell: int = CELL, audi
             if out:
                 yield pd.concat(out)
 
-    dealt = materialise(nodes.join(centres, "grp").mapInPandas(deal, f"grp string, cell int, home boolean, id {id_type}, copies long, embedding array<double>"), "cells")
+    dealt = dealt_cells = materialise(nodes.join(centres, "grp").mapInPandas(deal, f"grp string, cell int, home boolean, id {id_type}, copies long, embedding array<double>"), "cells")
     # a large cell is dealt into blocks: the vectors of a block are searched by all home vectors of the cell, block by block
     sizes = dealt.groupBy("grp", "cell").agg(F.count("*").alias("members"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / (4 * cell)).cast("int"))
@@ -250,12 +262,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, cell: int = CELL, audi
     groups = connected_components(answers.filter("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")))
     per_node = answers.groupBy("id").agg(F.sum("links").alias("links"), F.sum("audit_links").alias("audit_links"), F.sum("audit_found").alias("audit_found"))
     per_node = per_node.join(groups, "id", "left").select("id", "links", "audit_links", "audit_found", F.coalesce("component", "id").alias("g"))
+    per_node = materialise(per_node, "per_node")
     # back from nodes to vectors, by the vector itself
     of_vector = nodes.join(per_node, "id")
     joined = usable.select("vec_id", "grp", "embedding").distinct().join(of_vector, ["grp", "embedding"])
     per_id = joined.groupBy("vec_id").agg(F.sum(F.col("links") + F.col("copies") - 1).alias("links"), F.min("g").alias("g"), F.sum("audit_links").alias("audit_links"), F.sum("audit_found").alias("audit_found"))
     zero = F.lit(0).cast("long")
-    out = plain.select("vec_id").join(per_id, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("links", zero).alias("n_links"), F.coalesce("g", "vec_id").alias("component_id"), F.coalesce("audit_links", zero).alias("audit_links"), F.coalesce("audit_found", zero).alias("audit_found"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-
+    discard(centres, dealt_cells, answers)
+    out = plain.select("vec_id").join(per_id, "vec_id", "left").withColumn("component_id", F.coalesce("g", "vec_id"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    audit = [F.coalesce(c, zero).alias(c) for c in ("audit_links", "audit_found")]
+    return out.select("vec_id", F.coalesce("links", zero).alias("n_links"), "component_id", kept, *audit)
