@@ -7,6 +7,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow.fs
 from pyspark import TaskContext
@@ -20,16 +21,28 @@ HTTP, DATE = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n
 SPLIT_AT, GAP, RANGE = 64 << 20, 64 << 10, 4 << 20
 
 
+NO_ID = "urn:no-page"
+
+
+def urn(page_id: object) -> str:
+    """An id of any type as a name in a header."""
+    return NO_ID if page_id is None else f"urn:page:{quote(str(page_id), safe='')}"
+
+
+def id_of(name: str) -> str | None:
+    return None if name == NO_ID else unquote(name.removeprefix("urn:page:"))
+
+
 def record(page: dict) -> bytes:
     """One gzip member: a response with its payload, or a revisit that names the response and holds none."""
     full = page["record_type"] == "response"
     block = HTTP + (page["payload"] if full else b"")
-    head = {"WARC-Type": page["record_type"], "WARC-Record-ID": f"<urn:page:{page['page_id']}>", "WARC-Date": DATE}
+    head = {"WARC-Type": page["record_type"], "WARC-Record-ID": f"<{urn(page['page_id'])}>", "WARC-Date": DATE}
     if page["url"] is not None:
         head["WARC-Target-URI"] = "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in page["url"])
     head |= {"WARC-Payload-Digest": f"sha1:{page['digest']}", "X-Payload-Length": str(page["payload_bytes"])}
     if not full:
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{page['refers_to']}>"}
+        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{urn(page['refers_to'])}>"}
     head |= {"Content-Type": "application/http;msgtype=response", "Content-Length": str(len(block))}
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
     return gzip.compress(b"WARC/1.1\r\n" + lines.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n", 1, mtime=0)
@@ -55,7 +68,8 @@ def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id, url, html, payload_bytes, digest, record_type, refers_to. Of equal payloads (by SHA-1 and length) of at least `least`
-    bytes the one of the largest page_id is the response; the payloads themselves do not leave their task for that."""
+    bytes the one of the largest page_id is the response (each of them, should several rows have it), and rows without an id are
+    responses; the payloads themselves do not leave their task for that."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     named = pages.select("page_id", "url", "html", F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("digest"))
     groups = named.filter(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -144,13 +158,15 @@ def read_archive(index: DataFrame, path: str, with_payload: bool = False) -> Dat
                     for e in run:
                         fields, payload = parse(data[e["offset"] - start : e["offset"] - start + e["length"]])
                         full = fields["WARC-Type"] == "response"
-                        number = lambda k: (lambda v: None if v in ("", "None") else int(v))(fields.get(k, "").removeprefix("<urn:page:").removesuffix(">"))
+                        name = lambda k: id_of(fields[k][1:-1]) if k in fields else None
                         size = len(payload) if full else int(fields["X-Payload-Length"])
-                        out = (number("WARC-Record-ID"), fields.get("WARC-Target-URI"), size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], number("WARC-Refers-To"))
+                        out = (name("WARC-Record-ID"), fields.get("WARC-Target-URI"), size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], name("WARC-Refers-To"))
                         yield (*out, payload if full else None) if with_payload else out
 
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return map_rows(dealt, schema + (", payload binary" if with_payload else ""), rows)
+    schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+    out = map_rows(dealt, schema + (", payload binary" if with_payload else ""), rows)
+    kind = dict(index.dtypes)["page_id"]
+    return out.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
