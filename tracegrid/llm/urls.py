@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracegrid.session import discard, materialise, tidy
+
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BOUND, Z, LEAST_STRENGTH, MOST_STRENGTH = 0.5, 1.0, 2.0, 100.0
@@ -21,9 +23,12 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def parents(host: Column) -> tuple[Column, Column]:
-    """Registered domain (the last two labels) and suffix (the last label) of a host, its port left out."""
+    """Registered domain and suffix of a host, its user and port left out. The suffix is the last label, or the last two where a
+    country's label follows one of seven common second labels (co.uk); the domain has one label more. An address is its own domain."""
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
-    return F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -1)
+    address, two = bare.rlike(r"^[0-9]+([.][0-9]+){3}$|^\["), bare.rlike(r"(^|[.])(ac|co|com|edu|gov|net|org)[.][a-z][a-z]$")
+    domain = F.when(address, bare).when(two, F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
+    return domain, F.when(address, "[address]").when(two, F.substring_index(bare, ".", -2)).otherwise(F.substring_index(bare, ".", -1))
 
 
 def matched_rule(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Column]:
@@ -50,25 +55,25 @@ def reputations(urls: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     The suffix's rate is shrunk to the rate of all, the domain's to the suffix's, the host's to the domain's; each level's prior
     strength comes from the level's own counts. Counts are summed with map-side combine, so a host of very many pages is one row a
-    task; the levels are joined as tables of hosts, not of pages."""
+    task. The hosts are written once and each level is read from there; of a level only its prior strength comes to the driver."""
     judged = outcomes.filter("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     counted = urls.join(judged, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
     domain, suffix = parents(F.col("host"))
-    hosts = counted.withColumn("domain", domain).withColumn("suffix", suffix)
+    hosts = materialise(counted.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("b").alias("db"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
-    total = suffixes.agg(((F.coalesce(F.sum("sb"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("sn"), F.lit(0)) + 1)).alias("p0"))
-    level = suffixes.crossJoin(F.broadcast(total))  # one row
-    k = level.agg(strength("sn", "sb", "p0").alias("k0"))
-    level = level.crossJoin(F.broadcast(k)).withColumn("p1", (F.col("sb") + F.col("k0") * F.col("p0")) / (F.col("sn") + F.col("k0")))
-    level = domains.join(level.select("suffix", "p1"), "suffix")
-    k = level.agg(strength("dn", "db", "p1").alias("k1"))
-    level = level.crossJoin(F.broadcast(k)).withColumn("p2", (F.col("db") + F.col("k1") * F.col("p1")) / (F.col("dn") + F.col("k1")))
-    level = hosts.join(level.select("domain", "suffix", "p2"), ["domain", "suffix"])
-    k = level.agg(strength("n", "b", "p2").alias("k2"))
-    level = level.crossJoin(F.broadcast(k))
-    a, size = F.col("b") + F.col("k2") * F.col("p2"), F.col("n") + F.col("k2")
-    mean = a / size
+    level = hosts.groupBy("suffix").agg(F.sum("n").alias("sn"), F.sum("b").alias("sb"))
+    with tidy(urls.sparkSession):
+        total = hosts.agg(((F.coalesce(F.sum("b"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("p0")).first()["p0"]
+        level = level.withColumn("p0", F.lit(total))
+        k = level.agg(strength("sn", "sb", "p0")).first()[0]
+        level = domains.join(level.select("suffix", ((F.col("sb") + k * total) / (F.col("sn") + k)).alias("p1")), "suffix")
+        level = materialise(level, "domains")
+        k = level.agg(strength("dn", "db", "p1")).first()[0]
+        level = hosts.join(level.select("domain", "suffix", ((F.col("db") + k * F.col("p1")) / (F.col("dn") + k)).alias("p2")), ["domain", "suffix"])
+        level = materialise(level, "hosts")
+        k = level.agg(strength("n", "b", "p2")).first()[0]
+    discard(hosts)
+    mean, size = (F.col("b") + k * F.col("p2")) / (F.col("n") + k), F.col("n") + k
     return level.select("host", mean.alias("mean"), F.sqrt(mean * (1 - mean) / (size + 1)).alias("sd"), "n")
 
 
