@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -52,6 +53,18 @@ def fingerprint_pairs(docs: DataFrame, width: int = 5, threshold_percent: int =
     return links.unionByName(same).distinct()
 
 
+def block_edges(ids: DataFrame, parts: int) -> list:
+    """Sorted ids that cut doc_id into about `parts` even ranges; one a range comes to the driver. Numbers by quantiles, other types
+    by the ranges that a range partitioning finds."""
+    if parts < 2:
+        return []
+    if dict(ids.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        cuts = ids.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("q")).first()["q"]
+        return sorted(set(cuts or []))
+    ranged = ids.filter("doc_id IS NOT NULL").repartitionByRange(parts, "doc_id")
+    return sorted(r["low"] for r in ranged.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("low")).collect())[1:]
+
+
 def edited_fingerprints(docs: DataFrame, width: int = 5, rows_per_block: int = 2000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row of docs.
 
@@ -66,13 +79,13 @@ def edited_fingerprints(docs: DataFrame, width: int = 5, rows_per_block: int = 2
     base = clean(docs).withColumn("tie", F.xxhash64("text"))
     n = docs.count()
     parts = max(1, -(-n // max(rows_per_block, n // MAX_BLOCKS)))
-    shares = [i / parts for i in range(1, parts)]
-    cuts = docs.select(F.percentile_approx("doc_id", shares, max(10_000, 20 * parts)).alias("q")).first()["q"] if shares else []
-    edges = np.array(sorted(set(cuts or [])), np.int64)  # one number a block
+    edges = block_edges(docs.select("doc_id"), parts)
 
     @F.pandas_udf("int")
     def block(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(edges, ids.fillna(0).to_numpy(np.int64), side="right")).astype(np.int32))
+        if ids.dtype == object:
+            return pd.Series([-1 if i is None else bisect.bisect_right(edges, i) for i in ids], dtype="int32")
+        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(np.array(edges, np.int64), ids.fillna(0).to_numpy(np.int64), side="right")).astype(np.int32))
 
     placed = base.withColumn("block", block("doc_id"))
     heads = placed.groupBy("block").agg(F.max_by(F.struct("doc_id", "tie"), F.struct("doc_id", F.bitwise_not("tie"))).alias("h")).collect()
