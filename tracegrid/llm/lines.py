@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tracegrid.llm.text import clean, map_rows, row_key
-from tracegrid.session import materialise, ship
+from tracegrid.llm.text import clean, map_rows, row_key, unused
+from tracegrid.session import discard, materialise, ship, tidy
 
 
 def prefixes(run: list[bytes]) -> Iterator[bytes]:
@@ -55,8 +55,8 @@ def without(text: str, numbers: set[int]) -> tuple[str, int]:
     return "\n".join(line for i, line in enumerate(lines) if i not in gone), len(gone)
 
 
-def with_repeats(docs: DataFrame) -> DataFrame:
-    """docs with _drop: the numbers of the units that occur before, or null. Written once, as the bytes behind the hashes are
+def with_repeats(docs: DataFrame, drop: str) -> DataFrame:
+    """docs with a column named drop: the numbers of the units that occur before, or null. Written once, as the bytes behind the hashes are
     compared before anything is removed. Of equal units that of the smallest (doc_id, hash of the text, number) stays, whole: a
     unit of the same text that overlaps it is no repeat."""
     id_type = dict(docs.dtypes)["doc_id"]
@@ -70,22 +70,25 @@ def with_repeats(docs: DataFrame) -> DataFrame:
     seen = materialise(map_rows(base, f"doc_id {id_type}, key long, k int, a int, b int, h binary", found, per_batch=20_000), "units")
     first = seen.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "k", "b")).alias("first")).filter("n > 1")
     later = (F.struct("doc_id", "key", "k", "b") > F.col("first")) & ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("a") < F.col("first.b")))
-    spots = seen.join(first, "h").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set("k").alias("_all"), F.collect_set(F.when(later, F.col("k"))).alias("_drop"))
-    joined = docs.join(spots, (docs["doc_id"] == spots["_id"]) & (row_key() == spots["_key"]), "left").drop("_id", "_key")
+    i, key, every = unused(docs, "_id", "_key", "_all")
+    spots = seen.join(first, "h").groupBy(F.col("doc_id").alias(i), F.col("key").alias(key)).agg(F.collect_set("k").alias(every), F.collect_set(F.when(later, F.col("k"))).alias(drop))
+    joined = docs.join(spots, (docs["doc_id"] == spots[i]) & (row_key() == spots[key]), "left").drop(i, key)
     joined = materialise(joined, "lines")
+    discard(seen)
 
     def bodies(source: Iterator[dict]) -> Iterator[tuple]:
         for r in source:
-            wanted = set(r["_all"])
+            wanted = set(r["every"])
             for k, body in multi_line(r["text"]):
                 if k in wanted:
                     yield xxhash.xxh3_128_digest(body), body
 
-    held = joined.filter("_all IS NOT NULL").select("text", "_all")
+    held = joined.filter(F.col(every).isNotNull()).select("text", F.col(every).alias("every"))
     unequal = map_rows(held, "h binary, body binary", bodies).groupBy("h").agg((F.min("body") != F.max("body")).alias("unequal")).filter("unequal")
-    if not unequal.isEmpty():
-        raise RuntimeError("different runs of lines share a 128-bit hash")
-    return joined.drop("_all")
+    with tidy(docs.sparkSession):
+        if not unequal.isEmpty():
+            raise RuntimeError("different runs of lines share a 128-bit hash")
+    return joined.drop(every)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -94,15 +97,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A run of two lines or more, one of them not blank, that occurs anywhere else (or again in its document) stays only at its first
     occurrence by doc_id. Rows without text, without doc_id or of one line are left alone; rows that repeat a doc_id and its text are
     treated alike. Columns other than doc_id and text pass through, n_chars (if there) follows the text. Runs meet by 128-bit hashes and are compared
-    byte by byte; should two ever differ under one hash, the run stops and nothing is removed."""
+    byte by byte; should two ever differ under one hash, the run stops and nothing is removed. A column of the name n_removed_lines
+    is replaced."""
     ship(docs.sparkSession)
+    docs = docs.drop("n_removed_lines")
+    drop = unused(docs, "_drop")[0]
     out = StructType([*docs.schema.fields, StructField("n_removed_lines", IntegerType())])
 
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, drops = batch.column("text").to_pylist(), batch.column("_drop").to_pylist()
+            texts, drops = batch.column("text").to_pylist(), batch.column(drop).to_pylist()
             made = [without(t, set(d)) if d else (t, 0) for t, d in zip(texts, drops, strict=True)]
             columns = {n: batch.column(n) for n in names}
             columns["text"] = pa.array([t for t, _ in made], batch.column("text").type)
@@ -112,7 +118,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             columns["n_removed_lines"] = pa.array([g for _, g in made], pa.int32())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return with_repeats(docs).mapInArrow(cut, out)
+    return with_repeats(docs, drop).mapInArrow(cut, out)
 
 
 def line_report(docs: DataFrame) -> DataFrame:

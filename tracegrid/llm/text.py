@@ -88,6 +88,17 @@ def pack(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores appended until no column of docs has them (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def row_key() -> Column:
     """With doc_id, identifies a document even where a doc_id is repeated with another text; equal rows share it."""
     return F.xxhash64("text")
