@@ -9,12 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.llm import bpe, fingerprints, lines, neardup, packing, suffixes, toxicity, urls, vectors, warc
+from tracegrid.llm import bpe, fingerprints, lines, neardup, packing, sql, suffixes, toxicity, urls, vectors, warc
 from tracegrid.session import table
 
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.98).drop("audit_links", "audit_found")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_embedding_neardup, op2_byte_bpe, op3_toxicity, op4_fingerprints, op5_best_fit_packing, op6_warc, op7_line_dedup, op8_suffix_dedup, op9_url_reputation, op10_minhash_neardup, pipeline)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_embedding_neardup": sql.OP1, "op6_warc": sql.OP6, "op7_line_dedup": sql.OP7, "op9_url_reputation": sql.OP9, "op10_minhash_neardup": sql.OP10,
+}
