@@ -101,11 +101,11 @@ def test_choice_of_k_scores_4000_points(monkeypatch):
     monkeypatch.setattr(cluster, "silhouette_values", lambda x, labels: sizes.append(len(x)) or np.zeros(len(x)))
     rng = np.random.default_rng(2)
     frame = pd.DataFrame({"image_id": 1, "x": np.arange(5000) % 100, "y": np.arange(5000) // 100, **{n: rng.random(5000) for n in ("f0", "f1", "f2")}})
-    kernels = []
-    features = type("Features", (), {"dtypes": [("image_id", "int")], "select": lambda self, *n: self, "groupBy": lambda self, k: self, "applyInPandas": lambda self, kernel, schema: kernels.append(kernel)})()
-    cluster.discover(features, ["f0", "f1", "f2"], k_max=3, config=replace(EngineConfig(), icm_sweeps=1))
-    kernels[0](frame)
-    assert sizes == [4000, 4000]
+    import inspect
+
+    most = inspect.signature(cluster.discover_labels).parameters["max_points"].default
+    _, _, scores = cluster.clusters_of(frame, ["f0", "f1", "f2"], 0, 3, 50_000, 0, replace(EngineConfig(), icm_sweeps=1), most)
+    assert sizes == [4000, 4000] and list(scores) == [2, 3]
 
 
 def test_discover_returns_relabelled_centres(spark):

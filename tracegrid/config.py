@@ -32,6 +32,8 @@ class EngineConfig:
     min_points: int = 12
     max_roughness: float = 5000.0
     roughness_samples: int = 200
+    roughness_method: str = "mean_squared"
+    feature_space: str = "lab"
     spike_factor: float = 3.0
     spike_pair: float = 1.0
     spike_passes: int = 10
@@ -53,6 +55,13 @@ class EngineConfig:
     )
 
 
+    def __post_init__(self) -> None:
+        if self.feature_space not in ("lab", "rgb"):
+            raise ValueError(f"feature_space must be lab or rgb, not {self.feature_space!r}")
+        if self.roughness_method not in ("mean_squared", "median_abs"):
+            raise ValueError(f"roughness_method must be mean_squared or median_abs, not {self.roughness_method!r}")
+
+
 @dataclass(frozen=True)
 class DigitizeOptions:
     k: int = 100
@@ -77,11 +86,50 @@ class DigitizeOptions:
             raise ValueError("k and knn_k must be positive, num_colors not negative")
 
 
+@dataclass(frozen=True)
+class Limits:
+    """The data limits of images without a calibration of their own."""
+
+    xmin: float | None = None
+    xmax: float | None = None
+    ymin: float | None = None
+    ymax: float | None = None
+
+    def __post_init__(self) -> None:
+        given = {k: v for k, v in vars(self).items() if v is not None}
+        for k, v in given.items():
+            if isinstance(v, bool) or not isinstance(v, (int, float)):
+                raise ValueError(f"{k} must be a number, not {v!r}")
+        for a, b in (("xmin", "xmax"), ("ymin", "ymax")):
+            if a in given and given.get(a) == given.get(b):
+                raise ValueError(f"{a} and {b} must differ")
+
+    def complete(self) -> Limits:
+        """These limits, if all four are there."""
+        missing = [k for k, v in vars(self).items() if v is None]
+        if missing:
+            raise ValueError(f"axis limits missing without a calibration: {', '.join(missing)}")
+        return self
+
+
+def exactly_three(corners: dict) -> dict:
+    """The corners that are set, if they are three of tl, tr, bl, br."""
+    held = {k: v for k, v in corners.items() if v is not None}
+    if set(held) - {"tl", "tr", "bl", "br"} or len(held) != 3:
+        raise ValueError("set exactly three of the corners tl, tr, bl, br")
+    return held
+
+
 @dataclass(frozen=True)
 class CalibrationPoint:
     pixel: tuple[float, float]
     data: tuple[float, float]
 
+    def __post_init__(self) -> None:
+        for name, pair in (("pixel", self.pixel), ("data", self.data)):
+            if pair is None or len(pair) != 2 or any(isinstance(v, bool) or not isinstance(v, (int, float)) for v in pair):
+                raise ValueError(f"{name} must be two numbers, not {pair!r}")
+
 
 @dataclass(frozen=True)
 class AxisCalibration:

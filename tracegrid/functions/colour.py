@@ -16,6 +16,17 @@ def strict_red(r: Column, g: Column, b: Column, least: int = 240, most: int = 10
     return (r >= least) & (g <= most) & (b <= most)
 
 
+def without_red(r: Column, g: Column, b: Column, least: int = 240, most: int = 10) -> tuple[Column, Column, Column]:
+    """The channels with marker red made black."""
+    red = strict_red(r, g, b, least, most)
+    return tuple(F.when(red, 0).otherwise(c) for c in (r, g, b))
+
+
+def near_pure_red(r: Column, g: Column, b: Column, tolerance: int = 4) -> Column:
+    """Every channel within the tolerance of (255, 0, 0)."""
+    return (r >= 255 - tolerance) & (g <= tolerance) & (b <= tolerance)
+
+
 def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """8-bit hue (period 180), saturation and value."""
     top, low = F.greatest(r, g, b), F.least(r, g, b)
@@ -59,6 +70,35 @@ def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return byte(light * 255.0 / 100.0), byte((bent(x) - bent(y)) * 500.0 + 128.0), byte((bent(y) - bent(z)) * 200.0 + 128.0)
 
 
+def lab_to_rgb(f0: Column, f1: Column, f2: Column) -> tuple[Column, Column, Column]:
+    """The 8-bit r, g, b of Lab features over 255, by way of their nearest 8-bit Lab."""
+    byte = lambda v: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.rint(v * 255.0)))
+    light, a, b = byte(f0) * 100.0 / 255.0, byte(f1) - 128.0, byte(f2) - 128.0
+    fy = F.when(light > 8.0, (light + 16.0) / 116.0).otherwise(light / 903.3 * 7.787 + 16.0 / 116.0)
+    straight = lambda t: F.when(t > 0.206893, F.pow(t, F.lit(3.0))).otherwise((t - 16.0 / 116.0) / 7.787)
+    x, y, z = straight(fy + a / 500.0) * 0.950456, straight(fy), straight(fy - b / 200.0) * 1.088754
+    linear = (x * 3.240479 - y * 1.537150 - z * 0.498535, y * 1.875992 - x * 0.969256 + z * 0.041556, x * 0.055648 - y * 0.204043 + z * 1.057311)
+    curved = lambda c: F.when(c <= 0.0031308, c * 12.92).otherwise(F.pow(F.greatest(c, F.lit(0.0)), F.lit(1.0 / 2.4)) * 1.055 - 0.055)
+    return tuple(byte(curved(c)).cast("int") for c in linear)
+
+
+def features(space: str, r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """The clustering features of a pixel in [0, 1]: its Lab, or its r, g, b."""
+    if space == "lab":
+        return lab(r, g, b)
+    if space == "rgb":
+        return r / 255.0, g / 255.0, b / 255.0
+    raise ValueError(f"feature_space must be lab or rgb, not {space!r}")
+
+
+def to_rgb(space: str, f0: Column, f1: Column, f2: Column) -> tuple[Column, Column, Column]:
+    """The 8-bit r, g, b of features."""
+    if space == "lab":
+        return lab_to_rgb(f0, f1, f2)
+    byte = lambda v: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.rint(v * 255.0)))
+    return tuple(byte(c).cast("int") for c in (f0, f1, f2))
+
+
 def hsv_distance2(h: Column, s: Column, v: Column, ph: Column, ps: Column, pv: Column) -> Column:
     """(2 dH)^2 + dS^2 + dV^2 with a circular hue."""
     d = F.abs(h - ph)

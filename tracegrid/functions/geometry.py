@@ -30,9 +30,12 @@ class Frame:
                 if dx * dx + dy * dy < 1e-6:
                     raise ValueError("axis points coincide")
 
+    #: The columns of a table of frames, in the order of the fields.
+    NAMES = ("ox", "oy", "axx", "axy", "ayx", "ayy", "xmin", "xmax", "ymin", "ymax")
+
     @staticmethod
     def columns() -> Frame:
-        return Frame(*map(F.col, ("ox", "oy", "axx", "axy", "ayx", "ayy", "xmin", "xmax", "ymin", "ymax")))
+        return Frame(*map(F.col, Frame.NAMES))
 
 
 def _c(v: object) -> Column:
@@ -79,11 +82,43 @@ def near_axes(x: Column, y: Column, frame: Frame, margin: float) -> Column:
     return (a <= margin) | (segment_distance(x, y, frame.ox, frame.oy, frame.yx, frame.yy) <= margin)
 
 
-def fourth_corner(present: dict[str, tuple[Column, Column]]) -> dict[str, tuple[Column, Column]]:
-    """The missing one of tl, tr, bl, br by the parallelogram rule."""
-    rule = {"tl": ("bl", "tr", "br"), "tr": ("tl", "br", "bl"), "bl": ("tl", "br", "tr"), "br": ("bl", "tr", "tl")}
-    (missing,) = set(rule) - set(present)
-    a, b, c = rule[missing]
+def near_markers(x: Column, y: Column, frame: Frame) -> Column:
+    """Within the filled discs of radius 5 that mark the three points of a frame set by hand (29 is the square that the drawn disc reaches)."""
+    hit = F.lit(False)
+    for px, py in ((frame.ox, frame.oy), (frame.xx, frame.xy), (frame.yx, frame.yy)):
+        hit |= F.pow(x - F.rint(_c(px)), 2) + F.pow(y - F.rint(_c(py)), 2) <= 29
+    return hit
+
+
+def canvas_to_image(x: Column, y: Column, scale: Column | float, width: Column | int, height: Column | int) -> tuple[Column, Column]:
+    """A place on a scaled canvas as image coordinates, kept inside the image."""
+    scale, width, height = map(_c, (scale, width, height))
+    return F.least(F.greatest(x / scale, F.lit(0.0)), width - 1), F.least(F.greatest(y / scale, F.lit(0.0)), height - 1)
+
+
+def rect_meets(x0: Column, y0: Column, w: Column, h: Column, width: Column | int, height: Column | int) -> Column:
+    """Whether a rectangle covers any of the image."""
+    width, height = map(_c, (width, height))
+    return (x0 + w > 0) & (y0 + h > 0) & (x0 < width) & (y0 < height)
+
+
+def rect_clip(x0: Column, y0: Column, w: Column, h: Column, width: Column | int, height: Column | int) -> tuple[Column, Column, Column, Column]:
+    """x0, y0, x1, y1 of a rectangle's part inside the image; all null where nothing of it is."""
+    width, height = map(_c, (width, height))
+    zero = F.lit(0)
+    left, top, right, bottom = F.greatest(zero, x0), F.greatest(zero, y0), F.least(width, x0 + w), F.least(height, y0 + h)
+    some = (left < right) & (top < bottom)
+    return tuple(F.when(some, c).cast("int") for c in (left, top, right, bottom))
+
+
+#: The missing corner is the sum of the first two less the third.
+PARALLELOGRAM = {"tl": ("bl", "tr", "br"), "tr": ("tl", "br", "bl"), "bl": ("tl", "br", "tr"), "br": ("bl", "tr", "tl")}
+
+
+def fourth_corner(present: dict) -> dict:
+    """The missing one of tl, tr, bl, br by the parallelogram rule; corners are pairs of columns or of numbers."""
+    (missing,) = set(PARALLELOGRAM) - set(present)
+    a, b, c = PARALLELOGRAM[missing]
     return present | {missing: tuple(present[a][i] + present[b][i] - present[c][i] for i in (0, 1))}
 
 

@@ -28,6 +28,13 @@ def normalise(features: DataFrame, norm: DataFrame, names: list[str], key: str =
     return joined.withColumns(scaled).drop(*[f"{n}_{p}" for n in names for p in ("offset", "scale")])
 
 
+def denormalise(scaled: DataFrame, norm: DataFrame, names: list[str], key: str = "image_id") -> DataFrame:
+    """The inverse of normalise."""
+    joined = scaled.join(norm, key)
+    raw = {n: F.col(n) * F.col(f"{n}_scale") + F.col(f"{n}_offset") for n in names}
+    return joined.withColumns(raw).drop(*[f"{n}_{p}" for n in names for p in ("offset", "scale")])
+
+
 def with_centres(features: DataFrame, centres: DataFrame) -> DataFrame:
     """features with all centres (centre, c) as one sorted array; the centres number at most k and are packed into one row."""
     packed = centres.agg(F.sort_array(F.collect_list(F.struct("centre", "c"))).alias("centres"))
@@ -128,26 +135,60 @@ def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 50, tol
     return centres, code
 
 
-def discover(features: DataFrame, names: list[str], key: str = "image_id", num_colours: int = 0, k_max: int = 20, sample: int = 50_000, seed: int = 0, config: EngineConfig = EngineConfig(), max_points: int = 4000) -> DataFrame:
-    """key, centre (from 1), c: the colour clusters of each image, k given or chosen by the silhouette of at most
-    max_points rows of a sample; the centres are those of the spatial relabelling after k-means. A kernel per image."""
+def clusters_of(frame: pd.DataFrame, names: list[str], num_colours: int, k_max: int, sample: int, seed: int, config: EngineConfig, max_points: int) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
+    """Labels (from 0) and centres of one image's pixels, given in row-major order, and the silhouette of each k that was tried."""
+    rng = np.random.default_rng(seed)
+    x = frame[names].to_numpy(float)
+    k, scores = num_colours, {}
+    if not k:
+        part = x if len(x) <= sample else x[rng.choice(len(x), sample, replace=False)]
+        for tried in range(2, min(k_max, len(np.unique(part, axis=0))) + 1):
+            _, code = lloyd(part, tried, rng)
+            few = np.arange(len(part)) if len(part) <= max_points else rng.choice(len(part), max_points, replace=False)
+            if len(np.unique(code[few])) > 1:
+                scores[tried] = float(silhouette_values(part[few], code[few]).mean())
+        k = max(scores, key=lambda n: (scores[n], -n), default=1)
+    centres, code = lloyd(x, min(k, len(x)), rng)
+    code, centres = relabel(x, code, centres, frame["x"].to_numpy(), frame["y"].to_numpy(), config)
+    return code, centres, scores
+
+
+def discover_labels(features: DataFrame, names: list[str], key: str = "image_id", num_colours: int = 0, k_max: int = 20, sample: int = 50_000, seed: int = 0, config: EngineConfig = EngineConfig(), max_points: int = 4000) -> DataFrame:
+    """The colour clusters of each image, k given or chosen by the silhouette of at most max_points rows of a sample, relabelled in
+    space. A row per pixel with its centre (from 1), one per centre with c, and one per tried k with its score; the columns that do not
+    apply are null. A kernel per image; centres_of, labels_of and scores_of read the parts."""
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["y", "x"])
-        rng = np.random.default_rng(seed)
-        x = frame[names].to_numpy(float)
-        k = num_colours
-        if not k:
-            part = x if len(x) <= sample else x[rng.choice(len(x), sample, replace=False)]
-            best = (-2.0, 1)
-            for tried in range(2, min(k_max, len(np.unique(part, axis=0))) + 1):
-                _, code = lloyd(part, tried, rng)
-                few = np.arange(len(part)) if len(part) <= max_points else rng.choice(len(part), max_points, replace=False)
-                if len(np.unique(code[few])) > 1:
-                    best = max(best, (float(silhouette_values(part[few], code[few]).mean()), -tried))
-            k = -best[1] if best[1] < 0 else 1
-        centres, code = lloyd(x, min(k, len(x)), rng)
-        _, centres = relabel(x, code, centres, frame["x"].to_numpy(), frame["y"].to_numpy(), config)
-        return pd.DataFrame({key: frame[key].iloc[0], "centre": np.arange(1, len(centres) + 1), "c": list(centres)})
-
-    return features.select(key, "x", "y", *names).groupBy(key).applyInPandas(kernel, f"{key} {dict(features.dtypes)[key]}, centre int, c array<double>")
+        code, centres, scores = clusters_of(frame, names, num_colours, k_max, sample, seed, config, max_points)
+        parts = [
+            frame[["x", "y", "pix_idx"]].assign(centre=code + 1),
+            pd.DataFrame({"centre": np.arange(1, len(centres) + 1), "c": list(centres)}),
+            pd.DataFrame({"k": list(scores), "score": list(scores.values())}),
+        ]
+        out = pd.concat([p for p in parts if len(p)], ignore_index=True).reindex(columns=["x", "y", "pix_idx", "centre", "c", "k", "score"])
+        for c in ("x", "y", "pix_idx", "centre", "k"):
+            out[c] = out[c].astype("Int64")
+        out["c"] = [v if isinstance(v, np.ndarray) else None for v in out["c"]]
+        out.insert(0, key, frame[key].iloc[0])
+        return out
+
+    schema = f"{key} {dict(features.dtypes)[key]}, x int, y int, pix_idx long, centre int, c array<double>, k int, score double"
+    return features.select(key, "x", "y", "pix_idx", *names).groupBy(key).applyInPandas(kernel, schema)
+
+
+def centres_of(found: DataFrame, key: str = "image_id") -> DataFrame:
+    return found.filter("c IS NOT NULL").select(key, "centre", "c")
+
+
+def labels_of(found: DataFrame, key: str = "image_id") -> DataFrame:
+    return found.filter("pix_idx IS NOT NULL").select(key, "x", "y", "pix_idx", "centre")
+
+
+def scores_of(found: DataFrame, key: str = "image_id") -> DataFrame:
+    return found.filter("k IS NOT NULL").select(key, "k", "score")
+
+
+def discover(features: DataFrame, names: list[str], **options: object) -> DataFrame:
+    """image_id, centre (from 1), c: the centres alone of discover_labels."""
+    return centres_of(discover_labels(features, names, **options))

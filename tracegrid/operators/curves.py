@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tracegrid.config import EngineConfig
 from tracegrid.functions.geometry import close_to
@@ -225,13 +226,14 @@ def local_roughness(curves: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFram
     return curves.withColumn("roughness", F.coalesce(F.abs(F.col("y") - chord), F.lit(0.0)))
 
 
-def roughness_of(x: np.ndarray, y: np.ndarray, samples: int = 200) -> float:
-    """Mean squared second difference of the curve resampled evenly; inf for fewer than five different x."""
+def roughness_of(x: np.ndarray, y: np.ndarray, samples: int = 200, method: str = "mean_squared") -> float:
+    """Mean squared (or median absolute) second difference of the curve resampled evenly; inf for fewer than five different x."""
     at, first = np.unique(x, return_index=True)
     if len(at) < 5:
         return float("inf")
     m = min(max(samples, 20), max(20, len(at)))
-    return float((np.diff(np.interp(np.linspace(at[0], at[-1], m), at, y[first]), 2) ** 2).mean())
+    bend = np.diff(np.interp(np.linspace(at[0], at[-1], m), at, y[first]), 2)
+    return float((bend**2).mean() if method == "mean_squared" else np.median(np.abs(bend)))
 
 
 def curve_scores(curves: DataFrame, xmin: float | str, xmax: float | str, config: EngineConfig = EngineConfig(), keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -240,7 +242,7 @@ def curve_scores(curves: DataFrame, xmin: float | str, xmax: float | str, config
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pt_idx")
-        return pd.DataFrame({k: [frame[k].iloc[0]] for k in keys} | {"roughness": [roughness_of(frame["x"].to_numpy(float), frame["y"].to_numpy(float), config.roughness_samples)]})
+        return pd.DataFrame({k: [frame[k].iloc[0]] for k in keys} | {"roughness": [roughness_of(frame["x"].to_numpy(float), frame["y"].to_numpy(float), config.roughness_samples, config.roughness_method)]})
 
     rough = curves.select(*keys, "pt_idx", "x", "y").groupBy(*keys).applyInPandas(kernel, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", roughness double")
     low, high = F.lit(xmin) if isinstance(xmin, float) else F.col(xmin), F.lit(xmax) if isinstance(xmax, float) else F.col(xmax)
@@ -256,6 +258,11 @@ def pick_best(candidates: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return candidates.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def without_result(asked: DataFrame, results: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The rows of asked whose keys have no row among results: what the next pass tries."""
+    return asked.join(results.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def grid(curves: DataFrame, axes: dict[str, tuple[float, ...]]) -> DataFrame:
     """Each row of curves with every combination of the grid (cand_id from 0); the grid is a literal array, so no join is needed."""
     cells = [F.struct(F.lit(i).alias("cand_id"), *[F.lit(v).alias(n) for n, v in zip(axes, values, strict=True)]) for i, values in enumerate(product(*axes.values()))]
@@ -267,12 +274,26 @@ def grid(curves: DataFrame, axes: dict[str, tuple[float, ...]]) -> DataFrame:
 
 def interp_distance(points: DataFrame, curves: DataFrame) -> DataFrame:
     """points (image_id, curve_idx, pt_idx, x, y) with other and gap: the distance in y from every other curve of the image whose
-    x range holds the point, by linear interpolation. Joined by image, whose curves are few."""
-    o = _order()
-    seg = curves.select("image_id", F.col("curve_idx").alias("other"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(o).alias("x1"), F.lead("y").over(o).alias("y1")).filter("x1 IS NOT NULL AND x1 > x0")
-    met = points.join(seg, "image_id").filter("curve_idx <> other AND x >= x0 AND x <= x1")
-    line = F.col("y0") + (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return met.groupBy("image_id", "curve_idx", "pt_idx", "other").agg(F.min(F.abs(F.col("y") - line)).alias("gap"))
+    x range holds the point, by linear interpolation.
+
+    Each point is sent once to each other curve of its image and sorted among that curve's points, which carry their next one; so the
+    work grows with points times curves. Of several points of a curve at one x the first ends the segment on the left and the last
+    begins the one on the right."""
+    line = Window.partitionBy("image_id", "other").orderBy("x")
+    known = curves.groupBy("image_id", F.col("curve_idx").alias("other"), "x").agg(F.min_by("y", "pt_idx").alias("end"), F.max_by("y", "pt_idx").alias("begin"))
+    spot = F.struct("x", "end", "begin", F.lag("x").over(line).isNull().alias("first"), F.lead("x").over(line).alias("next_x"), F.lead("end").over(line).alias("next_y"))
+    known = known.select("image_id", "other", "x", spot.alias("spot"))
+    others = curves.select("image_id", F.col("curve_idx").alias("other")).distinct()
+    asked = points.join(others, "image_id").filter("curve_idx <> other").select("image_id", "other", "x", F.struct("curve_idx", "pt_idx", "y").alias("asks"))
+    both = known.unionByName(asked, allowMissingColumns=True)
+    run = Window.partitionBy("image_id", "other").orderBy("x", F.col("asks").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("spot", F.last("spot", ignorenulls=True).over(run)).filter("asks IS NOT NULL AND spot IS NOT NULL")
+    y = F.col("asks.y")
+    here = F.least(F.when(~F.col("spot.first"), F.abs(y - F.col("spot.end"))), F.when(F.col("spot.next_x").isNotNull(), F.abs(y - F.col("spot.begin"))))
+    share = (F.col("x") - F.col("spot.x")) / (F.col("spot.next_x") - F.col("spot.x"))
+    between = F.abs(y - (F.col("spot.begin") + share * (F.col("spot.next_y") - F.col("spot.begin"))))
+    out = met.withColumn("gap", F.when(F.col("spot.x") == F.col("x"), here).otherwise(between)).filter("gap IS NOT NULL")
+    return out.select("image_id", "asks.curve_idx", "asks.pt_idx", "other", "gap")
 
 
 def tail_overlap(curves: DataFrame, lookback: int = 10, tolerance: float = 2.5) -> DataFrame:
@@ -381,25 +402,52 @@ def near_dup_removal(curves: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFra
     return curves.withColumn("_same", F.coalesce(same, F.lit(False))).filter(~F.col("_same")).drop("_same")
 
 
-def synthetic_endpoints(curves: DataFrame, xmin: float, xmax: float, xlog: bool = False, ylog: bool = False, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def synthetic_endpoints(curves: DataFrame, xmin: float | str, xmax: float | str, xlog: bool = False, ylog: bool = False, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """With a left point (0 or, on a log axis, xmin) and a right point (xmax) at zero (on a log axis the smallest float), where the
-    curve has none close to them; sorted by x, without points close to the one before."""
-    zero, left = (1.1754943508222875e-38 if ylog else 0.0), (xmin if xlog else 0.0)
-    at = lambda v: close_to(F.col("x"), F.lit(v)) & close_to(F.col("y"), F.lit(zero))
-    ends = curves.groupBy(*keys).agg(F.max(at(left)).alias("l"), F.max(at(xmax)).alias("r"), F.max("pt_idx").alias("n"))
-    new = lambda v, k: F.struct((F.col("n") + k).alias("pt_idx"), F.lit(v).alias("x"), F.lit(zero).alias("y"))
-    added = ends.select(*keys, F.explode(F.array_compact(F.array(F.when(~F.col("l"), new(left, 1)), F.when(~F.col("r"), new(xmax, 2))))).alias("p")).select(*keys, "p.*")
+    curve has none close to them; sorted by x, without points close to the one before. The limits are numbers or names of columns."""
+    low, high = (F.col(v) if isinstance(v, str) else F.lit(float(v)) for v in (xmin, xmax))
+    zero, left = F.lit(1.1754943508222875e-38 if ylog else 0.0), low if xlog else F.lit(0.0)
+    at = lambda v: close_to(F.col("x"), v) & close_to(F.col("y"), zero)
+    ends = curves.groupBy(*keys).agg(F.max(at(left)).alias("l"), F.max(at(high)).alias("r"), F.max("pt_idx").alias("n"), F.max(left).alias("left"), F.max(high).alias("right"))
+    new = lambda v, k: F.struct((F.col("n") + k).alias("pt_idx"), F.col(v).alias("x"), zero.alias("y"))
+    added = ends.select(*keys, F.explode(F.array_compact(F.array(F.when(~F.col("l"), new("left", 1)), F.when(~F.col("r"), new("right", 2))))).alias("p")).select(*keys, "p.*")
     return sort_curve(near_dup_removal(sort_curve(curves.select(*keys, "pt_idx", "x", "y").unionByName(added), keys), keys), keys)
 
 
-def wide(curves: DataFrame, names: list[int], key: str = "pt_idx") -> DataFrame:
-    """x, y of one curve, or curve<i>_x, curve<i>_y side by side by point number, NaN below the shorter ones."""
-    if len(names) == 1:
-        return curves.filter(F.col("curve_idx") == names[0]).select(key, "x", "y")
-    picked = lambda n, c: F.coalesce(F.max(F.when(F.col("curve_idx") == n, F.col(c))), F.lit(float("nan")))
-    return curves.filter(F.col("curve_idx").isin(names)).groupBy(key).agg(*[picked(n, c).alias(f"curve{i}_{c}") for i, n in enumerate(names, 1) for c in ("x", "y")])
+def renumber(curves: DataFrame, by: str = "image_id") -> DataFrame:
+    """curve_idx from 1 in each image over the curves that are there; a window over an image's sampled points."""
+    return curves.withColumn("curve_idx", F.dense_rank().over(Window.partitionBy(by).orderBy("curve_idx")))
+
+
+def wide(curves: DataFrame, n: int, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """keys, pt_idx and x, y of one curve, or curve<i>_x, curve<i>_y side by side by point number, NaN below the shorter ones. Curves are
+    numbered from 1 (renumber); n is the number of curves of the image that has most, at most one more than the clusters allow."""
+    if n == 1:
+        return curves.filter("curve_idx = 1").select(*keys, "pt_idx", "x", "y")
+    picked = lambda i, c: F.coalesce(F.max(F.when(F.col("curve_idx") == i, F.col(c))), F.lit(float("nan")))
+    return curves.groupBy(*keys, "pt_idx").agg(*[picked(i, c).alias(f"curve{i}_{c}") for i in range(1, n + 1) for c in ("x", "y")])
+
+
+def write_csv(curves: DataFrame, path: str, n: int) -> None:
+    """One CSV file with a header for each image, in a folder image_id=..., in point order; an image is one task's file, and images
+    are spread over all tasks. Cells are plain doubles."""
+    table = wide(curves, n)
+    table.repartition("image_id").sortWithinPartitions("image_id", "pt_idx").drop("pt_idx").write.mode("overwrite").partitionBy("image_id").option("header", True).csv(path)
+
+
+@F.pandas_udf(StringType())
+def twelve_digits(value: pd.Series) -> pd.Series:
+    """Numbers to 12 significant digits without trailing zeros; no number is an empty cell."""
+    return value.map(lambda v: "" if pd.isna(v) else f"{v:.12g}")
+
+
+def engine_table(curves: DataFrame, n: int) -> DataFrame:
+    """image_id, pt_idx and the cells of wide as text to 12 significant digits, blank below the shorter curves; x and y alone for one."""
+    table = wide(curves, n)
+    return table.select("image_id", "pt_idx", *[twelve_digits(c).alias(c) for c in table.columns if c not in ("image_id", "pt_idx")])
 
 
-def write_csv(table: DataFrame, path: str, key: str = "pt_idx") -> None:
-    """One CSV file in point order, with a header."""
-    table.repartition(1).sortWithinPartitions(key).drop(key).write.mode("overwrite").option("header", True).csv(path)
+def write_engine_csv(curves: DataFrame, path: str, n: int) -> None:
+    """The engine's CSV of each image: as write_csv, with the cells of engine_table."""
+    table = engine_table(curves, n)
+    table.repartition("image_id").sortWithinPartitions("image_id", "pt_idx").drop("pt_idx").write.mode("overwrite").partitionBy("image_id").option("header", True).option("emptyValue", "").csv(path)

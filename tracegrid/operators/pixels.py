@@ -25,6 +25,21 @@ def with_hsv(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns({"h": h, "s": s, "v": v})
 
 
+def remove_red(pixels: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """The pixels with marker red made black."""
+    r, g, b = colour.without_red(*rgb(), config.red_min, config.red_other_max)
+    return pixels.withColumns({"r": r, "g": g, "b": b})
+
+
+def framed(table: DataFrame, frames: Frame | DataFrame) -> tuple[DataFrame, Frame]:
+    """The table and its frame: one for all images, or a row an image (image_id, ox, oy, axx, axy, ayx, ayy, xmin, xmax, ymin, ymax)
+    whose columns are joined, and by_hand if it has that. Images without a row have no result."""
+    if isinstance(frames, Frame):
+        return table, frames
+    more = [c for c in ("by_hand",) if c in frames.columns and c not in table.columns]
+    return table.join(frames.select("image_id", *Frame.NAMES, *more), "image_id"), Frame.columns()
+
+
 def knn_colour_classify(pixels: DataFrame, k: int = 3, min_sat: int = 30, min_val: int = 30, most: float = 35.0) -> DataFrame:
     """Pixels near enough to the purple or red colours, with both distances; ties are red."""
     near = with_hsv(pixels).filter((F.col("s") >= min_sat) & (F.col("v") >= min_val))
@@ -105,10 +120,8 @@ def assign_corners(points: DataFrame) -> DataFrame:
             if name not in found and i not in used:
                 found[name] = xy[i]
                 used.add(i)
-        (missing,) = set(names) - set(found)
-        a, b, c = {"tl": ("bl", "tr", "br"), "tr": ("tl", "br", "bl"), "bl": ("tl", "br", "tr"), "br": ("bl", "tr", "tl")}[missing]
-        found[missing] = found[a] + found[b] - found[c]
-        return pd.DataFrame([(frame["image_id"].iloc[0], n, *found[n], n == missing) for n in names], columns=["image_id", "corner", "x", "y", "inferred"])
+        whole = geometry.fourth_corner(found)
+        return pd.DataFrame([(frame["image_id"].iloc[0], n, *whole[n], n not in found) for n in names], columns=["image_id", "corner", "x", "y", "inferred"])
 
     kind = dict(points.dtypes)["image_id"]
     return points.groupBy("image_id").applyInPandas(kernel, f"image_id {kind}, corner string, x double, y double, inferred boolean")
@@ -192,15 +205,18 @@ def snap(mask: DataFrame, strength: DataFrame, radius: int = 3) -> DataFrame:
     return moved.select("image_id", F.col("px").alias("x"), F.col("py").alias("y"), F.coalesce("to.x", "px").alias("sx"), F.coalesce("to.y", "py").alias("sy"))
 
 
-def chamfer(mask: DataFrame) -> DataFrame:
-    """image_id, x, y, dt: 3 x 3 chamfer distance of each mask pixel to the background; a two-pass kernel per image."""
+def chamfer(mask: DataFrame, width: int, height: int) -> DataFrame:
+    """image_id, x, y, dt: 3 x 3 chamfer distance of each mask pixel to the nearest pixel of the image outside the mask; a two-pass
+    kernel per image."""
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
-        d = np.zeros((y.max() + 3, x.max() + 3))
+        d = np.full((height + 2, width + 2), np.inf)
+        d[1:-1, 1:-1] = 0.0
         d[y + 1, x + 1] = 1e9
+        # fixed values: the lengths of a straight and a slanted step
         straight, slanted = 0.955, 1.3693
-        for rows, cols, back in ((range(1, d.shape[0] - 1), range(1, d.shape[1] - 1), -1), (range(d.shape[0] - 2, 0, -1), range(d.shape[1] - 2, 0, -1), 1)):
+        for rows, cols, back in ((range(1, height + 1), range(1, width + 1), -1), (range(height, 0, -1), range(width, 0, -1), 1)):
             for i in rows:
                 for j in cols:
                     if d[i, j]:
@@ -210,11 +226,14 @@ def chamfer(mask: DataFrame) -> DataFrame:
     return mask.select("image_id", "x", "y").groupBy("image_id").applyInPandas(kernel, f"image_id {dict(mask.dtypes)['image_id']}, x int, y int, dt double")
 
 
-def legend_box(points: DataFrame, width: int, height: int, shares: tuple = (0.15, 0.2, 0.25, 0.3, 0.35), least: int = 20, fill: float = 0.002, isolation: float = 0.07) -> DataFrame:
+def legend_box(points: DataFrame, width: int | None, height: int | None, shares: tuple = (0.15, 0.2, 0.25, 0.3, 0.35), least: int = 20, fill: float = 0.002, isolation: float = 0.07) -> DataFrame:
     """image_id, x0, y0, x1, y1: the first box, by size then place, that holds enough points of the image (x, y), is filled enough,
-    and keeps every outside point far away. A kernel per image over two-dimensional prefix sums."""
+    and keeps every outside point far away. A kernel per image over two-dimensional prefix sums. Without a width and height the
+    points' own columns of these names tell them."""
+    known = (F.lit(width) if width else F.col("width")).cast("int").alias("width"), (F.lit(height) if height else F.col("height")).cast("int").alias("height")
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+        width, height = int(frame["width"].iloc[0]), int(frame["height"].iloc[0])
         count = np.zeros((height + 1, width + 1), np.int64)
         np.add.at(count, (frame["y"].to_numpy() + 1, frame["x"].to_numpy() + 1), 1)
         prefix = count.cumsum(0).cumsum(1)
@@ -235,7 +254,7 @@ def legend_box(points: DataFrame, width: int, height: int, shares: tuple = (0.15
                             return pd.DataFrame([(frame["image_id"].iloc[0], a, b, c, d)], columns=["image_id", "x0", "y0", "x1", "y1"])
         return nothing("image_id", "x0", "y0", "x1", "y1")
 
-    return points.select("image_id", "x", "y").distinct().groupBy("image_id").applyInPandas(kernel, f"image_id {dict(points.dtypes)['image_id']}, x0 int, y0 int, x1 int, y1 int")
+    return points.select("image_id", "x", "y", *known).distinct().groupBy("image_id").applyInPandas(kernel, f"image_id {dict(points.dtypes)['image_id']}, x0 int, y0 int, x1 int, y1 int")
 
 
 def legend_erase(mask: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.config import DigitizeOptions, EngineConfig
@@ -12,8 +12,9 @@ from tracegrid.operators import cluster, curves, pixels
 from tracegrid.session import materialise
 
 
-def finish(points: DataFrame, frame: Frame, options: DigitizeOptions, config: EngineConfig) -> DataFrame:
+def finish(points: DataFrame, frames: Frame | DataFrame, options: DigitizeOptions, config: EngineConfig) -> DataFrame:
     """Pixels of curves (image_id, curve_idx, x, y, pix_idx) to sampled, sorted, optionally monotone curves in data units."""
+    points, frame = pixels.framed(points, frames)
     tx, ty = geometry.params(F.col("x"), F.col("y"), frame)
     placed = points.withColumns({"tx": tx, "ty": ty})
     if not options.keep_outside_axes:
@@ -25,35 +26,91 @@ def finish(points: DataFrame, frame: Frame, options: DigitizeOptions, config: En
     return out
 
 
-def single_colour(table: DataFrame, frame: Frame, options: DigitizeOptions = DigitizeOptions(), config: EngineConfig = EngineConfig()) -> DataFrame:
-    """image_id, curve_idx (1), pt_idx, x, y: the purple curve of each image."""
+def with_limits(table: DataFrame, frames: Frame | DataFrame) -> tuple[DataFrame, float | str, float | str]:
+    """The table and the x limits of its images: numbers, or the names of columns that it now has."""
+    if isinstance(frames, Frame):
+        return table, float(frames.xmin), float(frames.xmax)
+    return table.join(frames.select("image_id", "xmin", "xmax"), "image_id"), "xmin", "xmax"
+
+
+def closed(found: DataFrame, frames: Frame | DataFrame, options: DigitizeOptions) -> DataFrame:
+    """Curves with their synthetic ends."""
+    found, low, high = with_limits(found, frames)
+    return curves.synthetic_endpoints(found, low, high, options.xscale_log, options.yscale_log)
+
+
+def single_colour(table: DataFrame, frames: Frame | DataFrame, options: DigitizeOptions = DigitizeOptions(), config: EngineConfig = EngineConfig(), marked: bool = False) -> DataFrame:
+    """image_id, curve_idx (1), pt_idx, x, y: the purple curve of each image. With marked, the discs that mark the points of a frame set
+    by hand (each frame, or those whose row says by_hand) do not count as curve."""
     near = pixels.knn_colour_classify(table, options.knn_k, options.min_sat, options.min_val, options.knn_thresh)
     purple = near.filter((F.col("class") == "purple") & ~colour.strict_red(*pixels.rgb(), config.red_min, config.red_other_max))
-    out = finish(purple.select("image_id", F.lit(1).alias("curve_idx"), "x", "y", "pix_idx"), frame, options, config)
-    out = curves.per_curve(out, lambda x, y: curves.prune_spikes(x, y, config))
-    return curves.synthetic_endpoints(out, float(frame.xmin), float(frame.xmax), options.xscale_log, options.yscale_log)
+    if marked:
+        placed, frame = pixels.framed(purple, frames)
+        hit = geometry.near_markers(F.col("x"), F.col("y"), frame)
+        purple = placed.filter(~(hit & F.col("by_hand") if "by_hand" in placed.columns else hit))
+    out = finish(purple.select("image_id", F.lit(1).alias("curve_idx"), "x", "y", "pix_idx"), frames, options, config)
+    return closed(curves.per_curve(out, lambda x, y: curves.prune_spikes(x, y, config)), frames, options)
+
+
+NAMES = ["f0", "f1", "f2"]
+
+
+def clustering_pixels(table: DataFrame, frames: Frame | DataFrame, margin: float, options: DigitizeOptions, config: EngineConfig) -> DataFrame:
+    """The pixels that can belong to a curve with their features f0, f1, f2; the images' sizes pass through where the table has them."""
+    placed, frame = pixels.framed(table, frames)
+    valid = pixels.valid_pixels(placed, None if options.keep_outside_axes else frame, margin, config, options.exclude_grayscale)
+    sizes = [c for c in ("width", "height") if c in table.columns]
+    return valid.select("image_id", "x", "y", "pix_idx", *sizes, *[c.alias(n) for n, c in zip(NAMES, colour.features(config.feature_space, *pixels.rgb()), strict=True)])
+
 
+def colour_clusters(features: DataFrame, options: DigitizeOptions, config: EngineConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of pixels with features: the normaliser (a row an image), the centres (image_id, centre, c) and the labels (image_id, x, y,
+    pix_idx, centre) after the spatial relabelling."""
+    norm = materialise(cluster.normaliser(features, NAMES, floor=config.norm_floor), "norm")
+    scaled = materialise(cluster.normalise(features, norm, NAMES), "features")
+    found = materialise(cluster.discover_labels(scaled, NAMES, num_colours=options.num_colors, k_max=config.k_max, sample=config.sample_limit, config=config), "clusters")
+    return norm, cluster.centres_of(found), cluster.labels_of(found)
 
-def auto_colours(table: DataFrame, frame: Frame, width: int, height: int, options: DigitizeOptions = DigitizeOptions(auto_colors=True), config: EngineConfig = EngineConfig()) -> DataFrame:
+
+def centre_colours(centres: DataFrame, norm: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """image_id, centre, r, g, b: the centres as colours to show."""
+    raw = cluster.denormalise(centres.select("image_id", "centre", *[F.col("c")[i].alias(n) for i, n in enumerate(NAMES)]), norm, NAMES)
+    return raw.select("image_id", "centre", *[c.alias(n) for n, c in zip("rgb", colour.to_rgb(config.feature_space, *map(F.col, NAMES)), strict=True)])
+
+
+def assign_pixels(features: DataFrame, centres: DataFrame, norm: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """image_id, x, y, label: pixels with features dealt to known centres of their image, the nearest first, then relabelled in space."""
+    scaled = cluster.normalise(features, norm, NAMES)
+    packed = centres.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("centre", "c"))).alias("centres"))
+    tried = F.transform("centres", lambda s: F.struct(cluster.distance2(F.array(*NAMES), s["c"]).alias("d2"), s["centre"].alias("centre")))
+    near = scaled.join(packed, "image_id").withColumn("label", F.array_min(tried)["centre"])
+    return pixels.icm_exact(near, NAMES, config)
+
+
+def reference_curves(labels: DataFrame, width: int, height: int, radius: int = 2) -> DataFrame:
+    """image_id, label, x, y, sx, sy: each curve's pixels moved to the ridge of the mask that all curves of the image make when it is
+    thickened; what the strength of a place is, tells the distance from the background."""
+    union = pixels.dilate(labels.select("image_id", "x", "y").distinct(), width, height, radius)
+    moved = pixels.snap(labels.select("image_id", "x", "y").distinct(), pixels.chamfer(union, width, height))
+    return labels.select("image_id", "label", "x", "y").join(moved, ["image_id", "x", "y"])
+
+
+def auto_colours(table: DataFrame, frames: Frame | DataFrame, width: int | None, height: int | None, options: DigitizeOptions = DigitizeOptions(auto_colors=True), config: EngineConfig = EngineConfig()) -> DataFrame:
     """image_id, curve_idx, pt_idx, x, y: a curve for each colour cluster. The fast grid is tried for all clusters, the full one for
-    those without an accepted candidate; pixels and features are written once and shared by all candidates."""
-    box = None if options.keep_outside_axes else frame
-    valid = pixels.valid_pixels(table, box, config.axes_margin_cluster, config, options.exclude_grayscale)
-    names = ["f0", "f1", "f2"]
-    features = valid.select("image_id", "x", "y", "pix_idx", *[c.alias(n) for n, c in zip(names, colour.lab(*pixels.rgb()), strict=True)])
-    norm = materialise(cluster.normaliser(features, names, floor=config.norm_floor), "norm")
-    scaled = materialise(cluster.normalise(features, norm, names), "features")
-    centres = materialise(cluster.discover(scaled, names, num_colours=options.num_colors, k_max=config.k_max, sample=config.sample_limit, config=config), "centres")
-    near = pixels.valid_pixels(table, box, config.axes_margin_curve, config, options.exclude_grayscale)
-    near = materialise(near.select("image_id", "x", "y", "pix_idx", *[c.alias(n) for n, c in zip(names, colour.lab(*pixels.rgb()), strict=True)]), "curve-pixels")
+    those without an accepted candidate; pixels and features are written once and shared by all candidates. Without a width and
+    height the table's own columns of these names tell them."""
+    features = clustering_pixels(table, frames, config.axes_margin_cluster, options, config)
+    norm, centres, _ = colour_clusters(features, options, config)
+    near = materialise(clustering_pixels(table, frames, config.axes_margin_curve, options, config), "curve-pixels")
     box_of = materialise(pixels.legend_box(near, width, height), "legend")
     near = pixels.legend_erase(near, box_of)
     packed = centres.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("centre", "c"))).alias("centres"))
+    names = NAMES
 
     def tried(which: DataFrame, axes: dict) -> DataFrame:
         cands = curves.grid(which.select("image_id", F.col("centre").alias("curve_idx")), axes)
         joined = near.join(packed, "image_id").join(norm, "image_id").join(cands, "image_id")
-        new = colour.adjusted(tuple(map(F.col, names)), "lab", F.col("sat"), F.col("val"), F.col("contrast"))
+        new = colour.adjusted(tuple(map(F.col, names)), config.feature_space, F.col("sat"), F.col("val"), F.col("contrast"))
         unit = F.array(*[(c - F.col(f"{n}_offset")) / F.col(f"{n}_scale") for n, c in zip(names, new, strict=True)])
         joined = joined.withColumn("f", unit)
         own = F.element_at(F.filter("centres", lambda s: s["centre"] == F.col("curve_idx")), 1)["c"]
@@ -61,8 +118,8 @@ def auto_colours(table: DataFrame, frame: Frame, width: int, height: int, option
         joined = joined.withColumns({"d_own": cluster.distance2(F.col("f"), own), "d_rest": F.coalesce(F.array_min(rest), F.lit(float("inf")))})
         joined = joined.filter((F.col("d_own") < F.col("d_rest")) & (F.sqrt("d_own") <= F.sqrt("d_rest") * F.col("ratio")))
         keyed = joined.select("image_id", (F.col("curve_idx") * 100_000 + F.col("cand_id")).alias("curve_idx"), "x", "y", "pix_idx")
-        found = materialise(finish(keyed, frame, options, config), "candidates")
-        scores = curves.curve_scores(found, float(frame.xmin), float(frame.xmax), config).filter("accepted")
+        found = materialise(finish(keyed, frames, options, config), "candidates")
+        scores = curves.curve_scores(*with_limits(found, frames), config).filter("accepted")
         scores = scores.filter(F.col("n_points") >= F.ceil(F.lit(config.min_preprune) * options.k))
         scores = scores.withColumns({"cand_id": F.col("curve_idx") % 100_000, "curve_idx": (F.col("curve_idx") / 100_000).cast("int")})
         best = curves.pick_best(scores).select("image_id", (F.col("curve_idx") * 100_000 + F.col("cand_id")).alias("curve_idx"))
@@ -70,15 +127,14 @@ def auto_colours(table: DataFrame, frame: Frame, width: int, height: int, option
         return picked.withColumn("curve_idx", (F.col("curve_idx") / 100_000).cast("int"))
 
     first = materialise(tried(centres, config.fast_grid), "pass1")
-    failed = centres.join(first.select("image_id", F.col("curve_idx").alias("centre")).distinct(), ["image_id", "centre"], "left_anti")
+    failed = curves.without_result(centres, first.withColumnRenamed("curve_idx", "centre"), ("image_id", "centre"))
     both = first.unionByName(tried(failed, config.full_grid))
     if options.prune_auto:
         both = curves.per_curve(both, lambda x, y: curves.prune_rolling(*curves.prune_spikes(x, y, config), config))
-    out = curves.settle_image(both, config)
-    return curves.synthetic_endpoints(out, float(frame.xmin), float(frame.xmax), options.xscale_log, options.yscale_log)
+    return closed(curves.settle_image(both, config), frames, options)
 
 
-def calibrate(table: DataFrame, width: int, height: int, config: EngineConfig = EngineConfig()) -> DataFrame:
+def calibrate(table: DataFrame, width: int | Column, height: int | Column, config: EngineConfig = EngineConfig()) -> DataFrame:
     """image_id, ox, oy, axx, axy, ayx, ayy from the red corner markers, for images that have all three."""
     red = table.filter(colour.strict_red(*pixels.rgb(), config.red_min, config.red_other_max))
     at = pixels.corner_centroids(red, width, height)
@@ -90,11 +146,11 @@ def marked_corners(table: DataFrame, config: EngineConfig = EngineConfig()) -> D
     """image_id, corner, x, y, inferred from exactly three red blobs of at least marker_area pixels."""
     red = table.filter(colour.strict_red(*pixels.rgb(), config.red_min, config.red_other_max))
     blobs = pixels.connected_components(red, config.marker_area)
-    from pyspark.sql import Window
-
     numbered = blobs.withColumn("p", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "component")))
     return pixels.assign_corners(numbered.select("image_id", "p", F.col("cx").alias("x"), F.col("cy").alias("y")))
 
 
-def digitize(table: DataFrame, frame: Frame, width: int, height: int, options: DigitizeOptions = DigitizeOptions()) -> DataFrame:
-    return auto_colours(table, frame, width, height, options) if options.auto_colors else single_colour(table, frame, options)
+def digitize(table: DataFrame, frames: Frame | DataFrame, width: int | None, height: int | None, options: DigitizeOptions = DigitizeOptions(), config: EngineConfig = EngineConfig(), marked: bool = False) -> DataFrame:
+    if options.auto_colors:
+        return auto_colours(table, frames, width, height, options, config)
+    return single_colour(table, frames, options, config, marked)

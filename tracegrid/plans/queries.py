@@ -8,10 +8,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracegrid.config import DigitizeOptions, EngineConfig
+from tracegrid.config import DigitizeOptions, EngineConfig, Limits
 from tracegrid.functions import colour, geometry, names
 from tracegrid.operators import cluster, curves, pixels
-from tracegrid.plans import digitize
+from tracegrid.plans import api, digitize
 from tracegrid.session import ship, table
 from tracegrid.sources.adapters import CURVES_SQL, FRAME, PIXELS_SQL, SIDE, curve_view, feature_view, first_centres, pixel_view
 
@@ -63,8 +63,12 @@ def strict_red_mask(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT image_id, x, y, CASE WHEN {RED_SQL} THEN 0 ELSE b END AS b, CASE WHEN {RED_SQL} THEN 0 ELSE g END AS g, CASE WHEN {RED_SQL} THEN 0 ELSE r END AS r FROM pixels", PIXELS_SQL)
 def remove_strict_red(spark: SparkSession, d: str) -> DataFrame:
-    red = colour.strict_red(*pixels.rgb(), 128, 127)
-    return pixel_view(spark, d).select("image_id", "x", "y", *[F.when(red, 0).otherwise(F.col(c)).alias(c) for c in "bgr"])
+    return pixels.remove_red(pixel_view(spark, d), LOOSE).select("image_id", "x", "y", "b", "g", "r")
+
+
+@query("SELECT image_id, pix_idx FROM pixels WHERE NOT (r >= 175 AND g <= 80 AND b <= 80)", PIXELS_SQL)
+def near_pure_red_reject(spark: SparkSession, d: str) -> DataFrame:
+    return pixel_view(spark, d).filter(~colour.near_pure_red(*pixels.rgb(), 80)).select("image_id", "pix_idx")
 
 
 @query(f"SELECT image_id, pix_idx FROM hsv WHERE {GRAY_SQL}", f"{PIXELS_SQL}, {HSV_SQL}")
@@ -150,6 +154,30 @@ def feature_normalize(spark: SparkSession, d: str) -> DataFrame:
     return cluster.normalise(f, cluster.normaliser(f, F3), F3).select("image_id", "pix_idx", *[r6(c).alias(c) for c in F3])
 
 
+@query("SELECT image_id, pix_idx, round(r / 255.0::DOUBLE, 6) AS f0, round(g / 255.0::DOUBLE, 6) AS f1, round(b / 255.0::DOUBLE, 6) AS f2 FROM pixels", PIXELS_SQL)
+def rgb_features(spark: SparkSession, d: str) -> DataFrame:
+    return pixel_view(spark, d).select("image_id", "pix_idx", *[r6(c).alias(n) for n, c in zip(F3, colour.features("rgb", *pixels.rgb()), strict=True)])
+
+
+@query("SELECT image_id, pix_idx, " + ", ".join(f"round(0.25::DOUBLE * {f}_scale + {f}_offset, 6) AS {f}" for f in F3) + " FROM lab JOIN norm USING (image_id)", f"{PIXELS_SQL}, {LAB_SQL}, {NORM_SQL}")
+def inverse_normalize(spark: SparkSession, d: str) -> DataFrame:
+    f = lab_table(spark, d)
+    quarter = f.select("image_id", "pix_idx", *[F.lit(0.25).alias(c) for c in F3])
+    return cluster.denormalise(quarter, cluster.normaliser(f, F3), F3).select("image_id", "pix_idx", *[r6(c).alias(c) for c in F3])
+
+
+CUBE = "CASE WHEN {0} > 0.206893::DOUBLE THEN pow({0}, 3) ELSE ({0} - 16.0::DOUBLE / 116.0::DOUBLE) / 7.787::DOUBLE END"
+GAMMA = "least(255, greatest(0, round_even((CASE WHEN {0} <= 0.0031308::DOUBLE THEN {0} * 12.92::DOUBLE ELSE pow(greatest({0}, 0), 1.0::DOUBLE / 2.4::DOUBLE) * 1.055::DOUBLE - 0.055::DOUBLE END) * 255.0::DOUBLE, 0)))::INTEGER"
+BACK = f"""back AS (SELECT image_id, pix_idx, xx * 3.240479::DOUBLE - yy * 1.537150::DOUBLE - zz * 0.498535::DOUBLE AS lr, yy * 1.875992::DOUBLE - xx * 0.969256::DOUBLE + zz * 0.041556::DOUBLE AS lg, xx * 0.055648::DOUBLE - yy * 0.204043::DOUBLE + zz * 1.057311::DOUBLE AS lb FROM
+ (SELECT image_id, pix_idx, ({CUBE.format('fx')}) * 0.950456::DOUBLE AS xx, {CUBE.format('fy')} AS yy, ({CUBE.format('fz')}) * 1.088754::DOUBLE AS zz FROM (SELECT image_id, pix_idx, fy + (round_even(f1 * 255, 0) - 128) / 500.0::DOUBLE AS fx, fy, fy - (round_even(f2 * 255, 0) - 128) / 200.0::DOUBLE AS fz FROM
+ (SELECT *, CASE WHEN l > 8 THEN (l + 16.0::DOUBLE) / 116.0::DOUBLE ELSE l / 903.3::DOUBLE * 7.787::DOUBLE + 16.0::DOUBLE / 116.0::DOUBLE END AS fy FROM (SELECT *, round_even(f0 * 255, 0) * 100.0::DOUBLE / 255.0::DOUBLE AS l FROM lab)))))"""
+
+
+@query(f"SELECT image_id, pix_idx, {GAMMA.format('lr')} AS r, {GAMMA.format('lg')} AS g, {GAMMA.format('lb')} AS b FROM back", f"{PIXELS_SQL}, {LAB_SQL}, {BACK}")
+def lab_to_rgb(spark: SparkSession, d: str) -> DataFrame:
+    return lab_table(spark, d).select("image_id", "pix_idx", *[c.alias(n) for n, c in zip("rgb", colour.to_rgb("lab", *map(F.col, F3)), strict=True)])
+
+
 def clip_sql(e: str) -> str:
     return f"round(least(1, greatest(0, {e})), 6)"
 
@@ -197,6 +225,52 @@ def rectangle_distance(spark: SparkSession, d: str) -> DataFrame:
     return pixel_view(spark, d).select("image_id", "pix_idx", r6(geometry.rectangle_distance(F.col("x"), F.col("y"), lit(10), lit(5), lit(20), lit(30))).alias("d"))
 
 
+@query("SELECT image_id, pix_idx FROM pixels WHERE pow(x - 2, 2) + pow(y - 47, 2) <= 29 OR pow(x - 47, 2) + pow(y - 47, 2) <= 29 OR pow(x - 2, 2) + pow(y - 2, 2) <= 29", PIXELS_SQL)
+def marker_discs(spark: SparkSession, d: str) -> DataFrame:
+    return pixel_view(spark, d).filter(geometry.near_markers(F.col("x"), F.col("y"), FRAME)).select("image_id", "pix_idx")
+
+
+@query("SELECT image_id, pix_idx, round(least(greatest((x - 4) / 1.5::DOUBLE, 0), 24), 6) AS x, round(least(greatest((y - 4) / 1.5::DOUBLE, 0), 19), 6) AS y FROM pixels", PIXELS_SQL)
+def canvas_to_image(spark: SparkSession, d: str) -> DataFrame:
+    x, y = geometry.canvas_to_image(F.col("x") - 4, F.col("y") - 4, 1.5, 25, 20)
+    return pixel_view(spark, d).select("image_id", "pix_idx", r6(x).alias("x"), r6(y).alias("y"))
+
+
+@query(
+    "SELECT image_id, pix_idx, NOT (x0 + w <= 0 OR y0 + h <= 0 OR x0 >= 50 OR y0 >= 50) AS meets, CASE WHEN ok THEN greatest(0, x0) END::INTEGER AS x0, CASE WHEN ok THEN greatest(0, y0) END::INTEGER AS y0, CASE WHEN ok THEN least(50, x0 + w) END::INTEGER AS x1, CASE WHEN ok THEN least(50, y0 + h) END::INTEGER AS y1 FROM (SELECT *, greatest(0, x0) < least(50, x0 + w) AND greatest(0, y0) < least(50, y0 + h) AS ok FROM (SELECT image_id, pix_idx, x * 2 - 30 AS x0, y * 2 - 30 AS y0, r % 20 AS w, g % 20 AS h FROM pixels))",
+    PIXELS_SQL,
+)
+def rect_clip(spark: SparkSession, d: str) -> DataFrame:
+    rect = F.col("x") * 2 - 30, F.col("y") * 2 - 30, F.col("r") % 20, F.col("g") % 20
+    clipped = [c.alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), geometry.rect_clip(*rect, SIDE, SIDE), strict=True)]
+    return pixel_view(spark, d).select("image_id", "pix_idx", geometry.rect_meets(*rect, SIDE, SIDE).alias("meets"), *clipped)
+
+
+# calibrations -----------------------------------------------------------------------------------------------------------
+CALIBRATIONS = """cal AS (SELECT s_suppkey AS image_id, 2.0::DOUBLE + s_nationkey % 3 AS ox, 47.0::DOUBLE AS oy, 47.0::DOUBLE AS axx, 47.0::DOUBLE - s_suppkey % 2 AS axy, 2.0::DOUBLE AS ayx, 2.0::DOUBLE AS ayy, 1.0::DOUBLE AS origin_x, 0.5::DOUBLE AS origin_y, 100.0::DOUBLE + s_nationkey AS x_axis_x,
+ CASE WHEN s_nationkey > 12 THEN 1.5 ELSE 0.5 END::DOUBLE AS x_axis_y, CASE WHEN abs(s_acctbal) > 5000 THEN 2.0 ELSE 1.0 END::DOUBLE AS y_axis_x, 50.0::DOUBLE AS y_axis_y FROM supplier)"""
+
+
+def calibration_view(spark: SparkSession, d: str) -> DataFrame:
+    """A calibration for each supplier, which also serves the image of its number."""
+    num = lambda v: F.lit(float(v))
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    points = (num(2) + nation % 3, num(47), num(47), num(47) - key % 2, num(2), num(2))
+    data = (num(1), num(0.5), num(100) + nation, F.when(nation > 12, 1.5).otherwise(0.5), F.when(F.abs("s_acctbal") > 5000, 2.0).otherwise(1.0), num(50))
+    return table(spark, d, "supplier").select(key.alias("image_id"), *[c.alias(n) for n, c in zip(api.POINTS + api.DATA, points + data, strict=True)])
+
+
+@query(
+    """SELECT image_id, pix_idx, round(origin_x + tx * (x_axis_x - origin_x), 6) AS x, round(origin_y + ty * (y_axis_y - origin_y), 6) AS y FROM (SELECT *, ((x - ox) * (axx - ox) + (y - oy) * (axy - oy)) / (pow(axx - ox, 2) + pow(axy - oy, 2)) AS tx, ((x - ox) * (ayx - ox) + (y - oy) * (ayy - oy)) / (pow(ayx - ox, 2) + pow(ayy - oy, 2)) AS ty FROM pixels JOIN cal USING (image_id)) WHERE tx BETWEEN 0 AND 1 AND ty BETWEEN 0 AND 1""",
+    f"{PIXELS_SQL}, {CALIBRATIONS}",
+)
+def calibration_lookup(spark: SparkSession, d: str) -> DataFrame:
+    held, frame = pixels.framed(pixel_view(spark, d), api.frames_of(calibration_view(spark, d)))
+    tx, ty = geometry.params(F.col("x"), F.col("y"), frame)
+    data = [r6(geometry.to_data(t, low, high)).alias(n) for t, low, high, n in ((tx, frame.xmin, frame.xmax, "x"), (ty, frame.ymin, frame.ymax, "y"))]
+    return held.filter(geometry.inside(tx, ty)).select("image_id", "pix_idx", *data)
+
+
 # markers and components -------------------------------------------------------------------------------------------------
 SHELLS = "(SELECT image_id, 'tl' AS corner, x + y AS d, x, y FROM red UNION ALL SELECT image_id, 'bl', x + 49 - y, x, y FROM red UNION ALL SELECT image_id, 'br', 49 - x + 49 - y, x, y FROM red)"
 
@@ -209,6 +283,22 @@ def corner_marker_centroid(spark: SparkSession, d: str) -> DataFrame:
     return pixels.corner_centroids(red_mask(spark, d), SIDE, SIDE).select("image_id", "corner", r6("x").alias("x"), r6("y").alias("y"), "pixels")
 
 
+MARKS = f"{PIXELS_SQL}, red AS (SELECT * FROM pixels WHERE {RED_SQL}), sh AS {SHELLS}, cum AS (SELECT image_id, corner, d, sum(n) OVER (PARTITION BY image_id, corner ORDER BY d) AS seen FROM (SELECT image_id, corner, d, count(*) AS n FROM sh GROUP BY ALL)), stop AS (SELECT image_id, corner, min(d) AS stop FROM cum WHERE seen >= 4 GROUP BY ALL), mk AS (SELECT s.image_id, s.corner, avg(x) AS x, avg(y) AS y FROM sh s JOIN stop t ON s.image_id = t.image_id AND s.corner = t.corner AND s.d <= t.stop GROUP BY s.image_id, s.corner)"
+
+
+@query(
+    """SELECT image_id, by_hand, round(ox, 6) AS ox, round(oy, 6) AS oy, round(axx, 6) AS axx, round(axy, 6) AS axy, round(ayx, 6) AS ayx, round(ayy, 6) AS ayy, origin_x, origin_y, x_axis_x, x_axis_y, y_axis_x, y_axis_y FROM (
+ SELECT image_id, true AS by_hand, ox, oy, axx, axy, ayx, ayy, origin_x, origin_y, x_axis_x, x_axis_y, y_axis_x, y_axis_y FROM cal WHERE image_id % 2 = 0 AND image_id IN (SELECT image_id FROM pixels)
+ UNION ALL SELECT o.image_id, false, o.x, o.y, a.x, a.y, b.x, b.y, 0, -1, 10, -1, 0, 1 FROM mk o JOIN mk a USING (image_id) JOIN mk b USING (image_id) WHERE o.corner = 'bl' AND a.corner = 'br' AND b.corner = 'tl' AND o.image_id NOT IN (SELECT image_id FROM cal WHERE image_id % 2 = 0))""",
+    f"{MARKS}, {CALIBRATIONS}",
+)
+def calibration_choice(spark: SparkSession, d: str) -> DataFrame:
+    view = pixel_view(spark, d).withColumns({"width": F.lit(SIDE), "height": F.lit(SIDE)})
+    by_hand = calibration_view(spark, d).filter("image_id % 2 = 0").join(view.select("image_id").distinct(), "image_id", "left_semi")
+    out = api.chosen_calibrations(view, by_hand, Limits(0.0, 10.0, -1.0, 1.0), LOOSE)
+    return out.select("image_id", "by_hand", *[r6(c).alias(c) for c in api.POINTS], *api.DATA)
+
+
 FLOOD = """red AS (SELECT * FROM pixels WHERE r >= 128 AND g <= 127 AND b <= 127), walk AS (SELECT image_id, x, y, pix_idx AS c FROM red UNION
  SELECT n.image_id, n.x, n.y, w.c FROM walk w JOIN red n ON n.image_id = w.image_id AND abs(n.x - w.x) <= 1 AND abs(n.y - w.y) <= 1 AND n.pix_idx > w.c), lead AS (SELECT image_id, x, y, min(c) AS component FROM walk GROUP BY ALL)"""
 
@@ -218,11 +308,22 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return pixels.connected_components(red_mask(spark, d)).select("image_id", "component", "area", r6("cx").alias("cx"), r6("cy").alias("cy"))
 
 
-@query()
+CORNERS = f"""{FLOOD}, blobs AS (SELECT image_id, component, count(*) AS area, avg(x) AS x, avg(y) AS y FROM lead GROUP BY ALL HAVING count(*) >= 4), top AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, component) AS p FROM blobs QUALIFY p <= 3),
+ three AS (SELECT image_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM top GROUP BY image_id HAVING count(*) = 3), ideal AS (SELECT image_id, k, corner, x, y FROM (SELECT image_id, unnest([0, 1, 2, 3]) AS k, unnest(['tl', 'tr', 'bl', 'br']) AS corner, unnest([x0, x1, x0, x1]) AS x, unnest([y0, y0, y1, y1]) AS y FROM three)),
+ pairs AS (SELECT t.image_id, k, corner, p, t.x, t.y, sqrt(pow(t.x - i.x, 2) + pow(t.y - i.y, 2)) AS d FROM top t JOIN ideal i ON t.image_id = i.image_id), s1 AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY d, k, p) = 1),
+ s2 AS (SELECT q.* FROM pairs q JOIN s1 USING (image_id) WHERE q.k <> s1.k AND q.p <> s1.p QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY q.d, q.k, q.p) = 1), s3 AS (SELECT q.* FROM pairs q JOIN s1 USING (image_id) JOIN s2 USING (image_id) WHERE q.k NOT IN (s1.k, s2.k) AND q.p NOT IN (s1.p, s2.p) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY q.d, q.k, q.p) = 1),
+ got AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3), gone AS (SELECT i.image_id, i.k, i.corner FROM ideal i ANTI JOIN got g ON g.image_id = i.image_id AND g.k = i.k)"""
+
+
+@query(
+    "SELECT image_id, corner, round(x, 6) AS x, round(y, 6) AS y, false AS inferred FROM got UNION ALL SELECT o.image_id, o.corner, round(sum(CASE WHEN g.k = 3 - o.k THEN -g.x ELSE g.x END), 6), round(sum(CASE WHEN g.k = 3 - o.k THEN -g.y ELSE g.y END), 6), true FROM gone o JOIN got g ON g.image_id = o.image_id GROUP BY o.image_id, o.corner",
+    f"{PIXELS_SQL}, {CORNERS}",
+)
 def marker_corner_assign(spark: SparkSession, d: str) -> DataFrame:
     blobs = pixels.connected_components(red_mask(spark, d), 4)
     top = blobs.withColumn("p", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "component"))).filter("p <= 3")
-    return pixels.assign_corners(top.select("image_id", "p", F.col("cx").alias("x"), F.col("cy").alias("y")))
+    out = pixels.assign_corners(top.select("image_id", "p", F.col("cx").alias("x"), F.col("cy").alias("y")))
+    return out.select("image_id", "corner", r6("x").alias("x"), r6("y").alias("y"), "inferred")
 
 
 # clustering -------------------------------------------------------------------------------------------------------------
@@ -345,9 +446,13 @@ def icm_exact(spark: SparkSession, d: str) -> DataFrame:
     return pixels.icm_exact(p.select("image_id", "x", "y", F.floor(F.col("r") / 64).cast("int").alias("label"), *f), F3)
 
 
-@query()
+@query(
+    """SELECT m.image_id, m.x, m.y, round(min(0.955::DOUBLE * (greatest(abs(m.x - o.x), abs(m.y - o.y)) - least(abs(m.x - o.x), abs(m.y - o.y))) + 1.3693::DOUBLE * least(abs(m.x - o.x), abs(m.y - o.y))), 6) AS dt FROM dark m JOIN
+ (SELECT i.image_id, a.x, b.y FROM (SELECT DISTINCT image_id FROM pixels) i, (SELECT unnest(range(0, 50))::INTEGER AS x) a, (SELECT unnest(range(0, 50))::INTEGER AS y) b ANTI JOIN dark k ON k.image_id = i.image_id AND k.x = a.x AND k.y = b.y) o ON o.image_id = m.image_id GROUP BY ALL""",
+    MASKS,
+)
 def distance_transform(spark: SparkSession, d: str) -> DataFrame:
-    return pixels.chamfer(dark_mask(spark, d)).withColumn("dt", r6("dt"))
+    return pixels.chamfer(dark_mask(spark, d), SIDE, SIDE).withColumn("dt", r6("dt"))
 
 
 @query(
@@ -486,6 +591,15 @@ def curve_score(spark: SparkSession, d: str) -> DataFrame:
     return out.select("image_id", "curve_idx", "n_points", r6("coverage").alias("coverage"), F.round("roughness", 2).alias("roughness"))
 
 
+@query(
+    "SELECT image_id, curve_idx, round(roughness, 4) AS roughness FROM (SELECT DISTINCT image_id, curve_idx FROM curves) JOIN (SELECT curve_idx, median(abs(v2 - 2 * v1 + v)) AS roughness FROM (SELECT curve_idx, v, lead(v, 1) OVER q AS v1, lead(v, 2) OVER q AS v2 FROM val WINDOW q AS (PARTITION BY curve_idx ORDER BY i)) WHERE v2 IS NOT NULL GROUP BY curve_idx) USING (curve_idx)",
+    f"{CURVES_SQL}, {RESAMPLED}",
+)
+def roughness_median(spark: SparkSession, d: str) -> DataFrame:
+    out = curves.curve_scores(curve_view(spark, d), 0.0, SPAN, replace(EngineConfig(), roughness_method="median_abs"))
+    return out.select("image_id", "curve_idx", F.round("roughness", 4).alias("roughness"))
+
+
 # scaled so that an image's curves come near one another
 SCALED = f"{CURVES_SQL}, sc AS (SELECT image_id, curve_idx, pt_idx, x / 864000.0::DOUBLE AS x, y / 10.0::DOUBLE AS y FROM curves)"
 
@@ -548,16 +662,27 @@ def near_dup_removal(spark: SparkSession, d: str) -> DataFrame:
     return pts(curves.near_dup_removal(c))
 
 
-def wide_sql() -> str:
-    cols = ", ".join(f"coalesce(round(max({c}) FILTER (k = {i}), 6), 'nan'::DOUBLE) AS curve{i}_{c}" for i in range(1, 5) for c in "xy")
-    return f"SELECT image_id, pt_idx, {cols} FROM (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY curve_idx) AS k FROM curves) WHERE k <= 4 GROUP BY ALL"
+RANKED = f"{CURVES_SQL}, ranked AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY curve_idx) AS k FROM curves)"
+
 
+def wide_sql(cell: str, none: str) -> str:
+    cols = ", ".join(f"coalesce({cell.format(f'max({c}) FILTER (k = {i})')}, {none}) AS curve{i}_{c}" for i in range(1, 9) for c in "xy")
+    return f"SELECT image_id, pt_idx, {cols} FROM ranked GROUP BY image_id, pt_idx"
 
-@query(wide_sql(), CURVES_SQL)
+
+@query(wide_sql("round({0}, 6)", "'nan'::DOUBLE"), RANKED)
 def wide_pivot(spark: SparkSession, d: str) -> DataFrame:
-    ranked = curve_view(spark, d).withColumn("k", F.dense_rank().over(Window.partitionBy("image_id").orderBy("curve_idx"))).filter("k <= 4")
-    cells = [F.coalesce(r6(F.max(F.when(F.col("k") == i, F.col(c)))), F.lit(float("nan"))).alias(f"curve{i}_{c}") for i in range(1, 5) for c in "xy"]
-    return ranked.groupBy("image_id", "pt_idx").agg(*cells)
+    return curves.wide(pts(curves.renumber(curve_view(spark, d))), 8)
+
+
+@query(wide_sql("printf('%.12g', {0})", "''"), RANKED)
+def engine_csv_cells(spark: SparkSession, d: str) -> DataFrame:
+    return curves.engine_table(curves.renumber(curve_view(spark, d)), 8)
+
+
+@query("SELECT image_id, dense_rank() OVER (PARTITION BY image_id ORDER BY curve_idx)::INTEGER AS curve_idx, pt_idx, round(x, 6) AS x, round(y, 6) AS y FROM curves WHERE curve_idx % 3 > 0", CURVES_SQL)
+def renumber_curves(spark: SparkSession, d: str) -> DataFrame:
+    return pts(curves.renumber(curve_view(spark, d).filter("curve_idx % 3 > 0")))
 
 
 @query("SELECT curve_idx, pt_idx, round(x, 6) AS x, round(y, 6) AS y FROM curves ORDER BY curve_idx, pt_idx LIMIT 40", CURVES_SQL)
@@ -595,10 +720,10 @@ def pick_best_candidate(spark: SparkSession, d: str) -> DataFrame:
     return curves.pick_best(candidates(spark, d), ("curve_idx",))
 
 
-@query("SELECT DISTINCT user_id AS curve_idx FROM events EXCEPT SELECT curve_idx FROM cands WHERE roughness <= 30000 AND cand_id < 7", CANDS)
+@query("SELECT DISTINCT user_id AS curve_idx FROM events EXCEPT SELECT curve_idx FROM cands WHERE roughness <= 8000 AND cand_id < 7", CANDS)
 def failed_curves_retry(spark: SparkSession, d: str) -> DataFrame:
-    passed = candidates(spark, d).filter("roughness <= 30000 AND cand_id < 7").select("curve_idx")
-    return users(spark, d).join(passed, "curve_idx", "left_anti")
+    passed = candidates(spark, d).filter("roughness <= 8000 AND cand_id < 7")
+    return curves.without_result(users(spark, d), passed, ("curve_idx",))
 
 
 @query("SELECT p_partkey, regexp_replace(trim(lower(p_name)), '[ -]+', '-', 'g') AS name FROM part")
@@ -606,18 +731,30 @@ def norm_name(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", names.norm_name(F.col("p_name")).alias("name"))
 
 
-@query("SELECT s_suppkey, s_name || '.png' AS image, s_name || '.csv' AS out, (CASE WHEN s_nationkey % 2 = 0 THEN 200 ELSE 400 END)::DOUBLE AS xmax, 5 AS num_colors FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal::DOUBLE END AS x, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey::DOUBLE END AS y FROM supplier")
+def pair_parse(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    third = F.col("s_suppkey") % 3
+    text = F.when(third == 0, F.format_string(" %s , %s", F.col("s_acctbal").cast("string"), F.col("s_nationkey"))).when(third == 1, F.concat("s_name", F.lit(",1"))).otherwise(F.lit("1,2,3"))
+    both = names.parse_pair(text)
+    return s.select("s_suppkey", both[0].alias("x"), both[1].alias("y"))
+
+
+@query(
+    "SELECT s_name || '.png' AS image, 0.0::DOUBLE AS xmin, (CASE WHEN s_nationkey % 2 = 0 THEN 200 ELSE 400 END)::DOUBLE AS xmax, 0.0::DOUBLE AS ymin, 2500.0::DOUBLE AS ymax, CASE WHEN s_suppkey % 2 = 0 THEN 100 ELSE 1000 END AS k, 5 AS num_colors, true AS auto_colors, true AS exclude_grayscale, false AS keep_outside_axes, false AS monotone_y, 'pava' AS monotone_method, false AS xscale_log, false AS yscale_log, s_name || '.csv' AS out FROM supplier"
+)
 def batch_jobs(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
-    image = F.concat("s_name", F.lit(".png"))
-    return s.select("s_suppkey", image.alias("image"), F.regexp_replace(image, r"\.[^.]*$", ".csv").alias("out"), F.when(F.col("s_nationkey") % 2 == 0, 200.0).otherwise(400.0).alias("xmax"), F.lit(5).alias("num_colors"))
+    limits = [F.lit(0.0).alias("xmin"), F.when(F.col("s_nationkey") % 2 == 0, 200.0).otherwise(400.0).alias("xmax"), F.lit(0.0).alias("ymin"), F.lit(2500.0).alias("ymax")]
+    return api.job_table(s.select(F.concat("s_name", F.lit(".png")).alias("image"), *limits, F.when(F.col("s_suppkey") % 2 == 0, 100).alias("k")))
 
 
-@query("SELECT s_suppkey, concat_ws(';', CASE WHEN abs(s_acctbal) > 5000 THEN 'x axis point off the origin''s y' END, CASE WHEN s_nationkey > 12 THEN 'y axis point off the origin''s x' END) AS warnings FROM supplier")
+@query(
+    "SELECT image_id, concat_ws(';', CASE WHEN abs(x_axis_y - origin_y) > 1e-9 THEN 'the x axis point has another y than the origin; the origin''s is used' END, CASE WHEN abs(y_axis_x - origin_x) > 1e-9 THEN 'the y axis point has another x than the origin; the origin''s is used' END) AS warnings FROM cal",
+    CALIBRATIONS,
+)
 def calibration_warnings(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier")
-    w = [F.when(F.abs("s_acctbal") > 5000, "x axis point off the origin's y"), F.when(F.col("s_nationkey") > 12, "y axis point off the origin's x")]
-    return s.select("s_suppkey", F.array_join(F.array_compact(F.array(*w)), ";").alias("warnings"))
+    return calibration_view(spark, d).select("image_id", F.array_join(api.calibration_warnings(), ";").alias("warnings"))
 
 
 # whole plans ------------------------------------------------------------------------------------------------------------

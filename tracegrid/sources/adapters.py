@@ -1,4 +1,5 @@
-"""Deterministic views of the driver's tables as pixels, features, curves and names; eight neighbouring users are an image's curves."""
+"""Deterministic views of the driver's tables as pixels, features, curves and names. The items of 4,000 neighbouring orders are an
+image's pixels, eight neighbouring users an image's curves, so images grow in number with the tables."""
 
 from __future__ import annotations
 
@@ -13,14 +14,14 @@ SIDE = 50
 FRAME = Frame(2.0, 47.0, 47.0, 47.0, 2.0, 2.0, 1.0, 1000.0, 0.5, 200.0)
 
 PIXELS_SQL = """pixels AS (SELECT image_id, x, y, (y * 50 + x)::BIGINT AS pix_idx, ((53 * k + 7) % 256)::INTEGER AS b, ((91 * k + 3) % 256)::INTEGER AS g,
- ((37 * k + 11) % 256)::INTEGER AS r FROM (SELECT (l_suppkey % 4)::INTEGER AS image_id, l_quantity::INTEGER - 1 AS x, floor(l_extendedprice / 2100)::INTEGER AS y, min(l_orderkey) AS k
+ ((37 * k + 11) % 256)::INTEGER AS r FROM (SELECT (l_orderkey // 4000)::INTEGER AS image_id, l_quantity::INTEGER - 1 AS x, floor(l_extendedprice / 2100)::INTEGER AS y, min(l_orderkey) AS k
  FROM lineitem GROUP BY ALL))"""
 CURVES_SQL = """curves AS (SELECT user_id // 8 AS image_id, user_id AS curve_idx, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pt_idx,
  (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6::DOUBLE AS x, value AS y FROM events)"""
 
 
 def pixel_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).cast("int").alias("image_id"), (F.col("l_quantity").cast("int") - 1).alias("x"), F.floor(F.col("l_extendedprice") / 2100).cast("int").alias("y"), "l_orderkey")
+    items = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 4000).cast("int").alias("image_id"), (F.col("l_quantity").cast("int") - 1).alias("x"), F.floor(F.col("l_extendedprice") / 2100).cast("int").alias("y"), "l_orderkey")
     k = F.col("k")
     one = items.groupBy("image_id", "x", "y").agg(F.min("l_orderkey").alias("k"))
     channel = lambda a, c: ((k * a + c) % 256).cast("int")

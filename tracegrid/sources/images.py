@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 SUFFIXES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """image_id (the origin), width, height, channels, data; unreadable files have readable = false."""
+def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Images at a path or paths: image_id (the origin), width, height, channels, data; unreadable files have readable = false."""
     image = spark.read.format("image").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").option("recursiveFileLookup", "true").load(path)
     return image.select(F.col("image.origin").alias("image_id"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"), (F.col("image.height") > 0).alias("readable"))
 
