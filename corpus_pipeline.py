@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracegrid.llm import lines, neardup, packing, suffixes, toxicity
-from tracegrid.session import materialise, table
+from tracegrid.session import discard, materialise, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the strings of 400 bytes or more that occur more than once."""
+    """Every document, without the passages of over 50 words, or of 400 bytes, that occur more than once."""
     return suffixes.dedup_text(docs)
 
 
@@ -42,12 +42,14 @@ STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_dedup", drop_near_copies), ("suffix_dedup", drop_repeated_passages), ("packing", pack),
 ]
 
-#: No stage but the first projection is expressible in SQL; the tests hold each against a brute-force version.
+#: SQL cannot express the classifier, the tokenizer or the passages; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        spent, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(spent)
     return STAGES[-1][1](spark, docs, sf_dir)
