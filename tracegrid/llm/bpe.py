@@ -136,7 +136,7 @@ _ENCODERS: dict = {}
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids the ids themselves, per row; decoded bytes are checked to be the text.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids the ids themselves, per row; decoded_sha256 is that of the bytes which the ids give.
 
     Null text counts as empty (no tokens); null doc_ids and repeated rows stay as they are; other columns are ignored."""
     ship(docs.sparkSession)

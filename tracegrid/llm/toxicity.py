@@ -84,7 +84,7 @@ def log_odds(toxic: Counter, ordinary: Counter, n: int, m: int) -> dict:
 
 def fit(toxic: list[str], ordinary: list[str], rate: float) -> Model:
     """rate: the share of toxic ones among all labelled rows. The toxic dictionary is trained on the windows of toxic documents whose
-    byte n-grams ordinary documents lack (and a hundredth of the toxic ones have), the ordinary one on windows of ordinary documents; half of the ordinary rows serve that,
+    byte n-grams ordinary documents lack (and a hundredth of the toxic ones have), the ordinary one on windows of a quarter of the ordinary documents;
     all rows weigh the length cells, and isotonic steps turn evidence into probability."""
     if not toxic or not ordinary:
         return Model(PAD * 8, PAD * 8, {}, ((-99.0, 1.0 if toxic else 0.0),), False)
@@ -134,12 +134,12 @@ def fit(toxic: list[str], ordinary: list[str], rate: float) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
     """Fit on a bounded sample: at most about toxic_rows and ordinary_rows labelled documents that are not held out, chosen by a hash
-    of doc_id, and SAMPLE_BYTES of text. Only text and the toxic label are learnt from."""
+    of doc_id, and SAMPLE_BYTES of text in the order of that hash. Only text and the toxic label are learnt from."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("bad")).filter(~held_out())
     counts = {r["bad"]: r["count"] for r in known.groupBy("bad").count().collect()}
     take = F.when(F.col("bad"), min(1.0, toxic_rows / max(1, counts.get(True, 0)))).otherwise(min(1.0, ordinary_rows / max(1, counts.get(False, 0))))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < take * 1_000_000)
-    sample = clean(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "bad").toLocalIterator(prefetchPartitions=True)
+    sample = clean(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "bad").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator(prefetchPartitions=True)
     parts: dict[bool, list] = {True: [], False: []}
     size = {True: 0, False: 0}
     for r in sample:
