@@ -96,10 +96,29 @@ def test_graph_search_recall():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 24))
     x = np.concatenate([x, x[:400] + rng.normal(size=(400, 24)) * 0.02])
-    _, true, found = vectors.search_block(vectors.unit(x), np.arange(len(x)), 0.98)
+    _, true, found = vectors.search_block(vectors.unit(x), np.arange(len(x)), 0.98, audit_share=1.0)
     assert true >= 800 and found >= 0.9 * true
 
 
+def test_graph_search_alone():
+    """Groups of 1 to 60 near copies: what the search finds without the audit's repair, against brute force."""
+    rng = np.random.default_rng(1)
+    x = vectors.unit(np.concatenate([c + rng.normal(size=(n, 32)) * 0.015 for c, n in zip(rng.normal(size=(90, 32)), rng.integers(1, 61, 90), strict=True)]))
+    graph, entries = vectors.build_graph(x)
+    got = vectors.range_search(x, graph, entries, np.arange(len(x)), 0.98)
+    np.fill_diagonal(got, False)
+    want = vectors.scan(x, np.arange(len(x)), 0.98)
+    assert want.sum() > 20_000 and (got & ~want).sum() == 0 and (got & want).sum() >= 0.99 * want.sum()
+
+
+def test_a_block_where_the_search_misses_is_scanned(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = vectors.unit(np.repeat(rng.normal(size=(40, 8)), 5, axis=0) + rng.normal(size=(200, 8)) * 0.01)
+    monkeypatch.setattr(vectors, "range_search", lambda x, graph, entries, queries, least: np.zeros((len(queries), len(x)), bool))
+    hits, true, found = vectors.search_block(x, np.arange(len(x)), 0.98)
+    assert found == 0 < true and [h.tolist() for h in hits] == [np.flatnonzero(m).tolist() for m in vectors.scan(x, np.arange(len(x)), 0.98 - 1e-9)]
+
+
 def test_bpe_documents(docs, plain):
     ranks = bpe.read_ranks(RANKS)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -181,6 +200,12 @@ def test_fingerprints(spark, docs, plain):
     assert fingerprints.edited_fingerprints(d.limit(0)).count() == 0
     one = fingerprints.edited_fingerprints(d.filter("doc_id = 1")).first()
     assert one["near_next"] == 1.0
+    # ids that are not numbers, in their own order
+    named = [(f"{i:05d}", t) for i, t in unique if t is not None]
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.edited_fingerprints(spark.createDataFrame(named, "doc_id string, text string"), rows_per_block=7).collect()}
+    for k, (i, t) in enumerate(named):
+        cut = len(t) // 3
+        assert got[i] == hashlib.sha256((t[: len(t) - cut] + named[(k + 1) % len(named)][1][:cut] if cut else t).encode()).hexdigest()
 
 
 def sets(plain, width):
@@ -309,6 +334,9 @@ def test_warc(spark, tmp_path):
     some = warc.read_archive(index.filter("page_id IN (2, 8)"), str(tmp_path)).collect()
     assert sorted((r["page_id"], r["url"]) for r in some) == [(2, "http://a%0D%0Ab"), (8, "u")]
     assert warc.round_trip(pages.limit(0)).count() == 0
+    named = pages.select(F.when(F.col("page_id") != 1, F.concat(F.lit("é/<"), F.lpad(F.col("page_id").cast("string"), 2, "0"))).alias("page_id"), "url", "html")
+    back = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(named).collect()}
+    assert (None, "response", None) in back and ("é/<02", "revisit", "é/<03") in back and ("é/<09", "response", None) in back
 
 
 def test_ranges():
@@ -336,15 +364,23 @@ def test_lines(spark):
     want = Counter((i, t if not drop[i] or i is None else lines.without(t, drop[i])[0]) for i, t in rows)
     assert Counter((r["doc_id"], r["text"]) for r in out) == want and sum(map(len, drop.values())) > 5
     assert lines.dedup_lines(d.limit(0)).count() == 0
+    odd = d.select("doc_id", "text", *(F.lit(c).alias(c) for c in ("_id", "_key", "_drop", "_all", "n_removed_lines")))
+    other = lines.dedup_lines(odd)
+    assert other.columns == [*odd.columns[:-1], "n_removed_lines"] and Counter((r["doc_id"], r["text"], r["_id"], r["_drop"]) for r in other.collect()) == Counter({(*k, "_id", "_drop"): n for k, n in want.items()})
 
 
-def test_lines_are_whole_runs(spark):
-    rng = random.Random(4)
-    texts = ["\n".join(rng.choice(["", "", " ", *"abcdefghij"]) for _ in range(rng.randint(1, 14))) for _ in range(60)]
-    passages = [[words(rng, 5) for _ in range(n)] for n in (2, 3, 4, 20)]
-    for p in passages:
-        texts += ["\n".join([words(rng, 5), *p, words(rng, 5)]) for _ in range(4)]
-    texts += [texts[-1], "a\na\na\na\na\na", "q\n\n\n\nr\ns", "t\nq\n\n\n\nr", "q\n\n\n\n\nr"]
+def test_lines_shifted(spark):
+    """A passage of lines behind openings of different lengths, and within other passages, goes everywhere but where it is first."""
+    rng = random.Random(12)
+    passage = [words(rng, 7) for _ in range(12)]
+    rows = [(i, "\n".join([words(rng, 4) for _ in range(i)] + passage[i % 3 :] + [words(rng, 4) for _ in range(9 - i)])) for i in range(9)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i] == (t.split("\n") if i == 0 else [line for line in t.split("\n") if line not in passage])
+
+
+def repeated_lines(texts):
+    """Of each text the numbers of the lines in runs of two or more, one of them not blank, that an earlier place has."""
     seen = {}  # the first (text, line) of each run
     parts = [t.split("\n") for t in texts]
     runs = [(i, a, b) for i, p in enumerate(parts) for a in range(len(p)) for b in range(a + 2, len(p) + 1) if any(s.strip() for s in p[a:b])]
@@ -355,6 +391,17 @@ def test_lines_are_whole_runs(spark):
         j, at = seen[tuple(parts[i][a:b])]
         if j < i or a >= at + b - a:
             gone[i].update(range(a, b))
+    return gone
+
+
+def test_lines_are_whole_runs(spark):
+    rng = random.Random(4)
+    texts = ["\n".join(rng.choice(["", "", " ", *"abcdefghij"]) for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    passages = [[words(rng, 5) for _ in range(n)] for n in (2, 3, 4, 20)]
+    for p in passages:
+        texts += ["\n".join([words(rng, 5), *p, words(rng, 5)]) for _ in range(4)]
+    texts += [texts[-1], "a\na\na\na\na\na", "q\n\n\n\nr\ns", "t\nq\n\n\n\nr", "q\n\n\n\n\nr"]
+    parts, gone = [t.split("\n") for t in texts], repeated_lines(texts)
     out = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
     got = {r["doc_id"]: (r["text"], r["n_removed_lines"]) for r in out}
     assert got == {i: ("\n".join(s for k, s in enumerate(p) if k not in gone[i]), len(gone[i])) for i, p in enumerate(parts)}
@@ -362,13 +409,13 @@ def test_lines_are_whole_runs(spark):
         assert all(len(gone[60 + 4 * n + k]) == len(p) for k in range(1, 4))
 
 
-def removed(plain, least):
+def covered(plain, least):
+    """Of each row, the bytes that strings of that length cover which start elsewhere too, and the stretches they make."""
     seen = Counter()
     for i, t in plain:
         if i is not None:
             b = t.encode()
             seen.update(b[k : k + least] for k in range(len(b) - least + 1))
-    out = Counter()
     for i, t in plain:
         b = t.encode()
         hit = np.zeros(len(b), bool)
@@ -377,15 +424,52 @@ def removed(plain, least):
                 if seen[b[k : k + least]] > 1:
                     hit[k : k + least] = True
         edges = np.diff(np.concatenate([[0], hit.astype(int), [0]]))
-        out[i, len(b), int(hit.sum()), int((edges == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~hit])).hexdigest()] += 1
+        yield hit, list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
+
+
+def removed(plain, least, passage):
+    out = Counter()
+    for (i, t), (hit, spans), (_, short) in zip(plain, covered(plain, least), covered(plain, passage), strict=True):
+        b = t.encode()
+        sizes = [z - a for a, z in short if z - a >= 400 or len(b[a:z].split()) > 50]
+        out[i, len(b), int(hit.sum()), len(spans), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~hit])).hexdigest(), len(sizes), sum(sizes)] += 1
     return out
 
 
 @pytest.mark.parametrize("heavy", [1 << 21, 3000])
 def test_suffixes(docs, plain, monkeypatch, heavy):
     monkeypatch.setattr(suffixes, "HEAVY", heavy)
-    got = Counter(tuple(r) for r in suffixes.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
-    assert got == removed(plain, 400)
+    got = Counter(tuple(r) for r in suffixes.remove_repeats(docs).collect())
+    want = removed(plain, 400, 200)
+    assert got == want and sum(r[6] > r[2] for r in want) > 3
+
+
+def test_suffixes_of_short_alphabets(spark):
+    """Strings with many places of one hash, within a text and between texts."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice(["ab" * rng.randint(1, 300), "abc" * rng.randint(1, 300), words(rng, 12)]) for _ in range(rng.randint(1, 5)))) for i in range(25)]
+    got = Counter(tuple(r) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == removed(rows, 400, 200)
+
+
+def test_run_places():
+    rng = random.Random(9)
+    data = (words(rng, 400) + "xy" * 500 + words(rng, 50)).encode()
+    start, end, key, _, spot = suffixes.runs(data, 400)
+    grams = suffixes.gram_hashes(np.frombuffer(data, np.uint8))
+    for a, b, k, s in zip(start, end, key, spot, strict=True):
+        at = np.flatnonzero(grams[a : b - 1 + 400 - suffixes.GRAM + 1] == k)
+        assert s == (at[0] if len(at) == 1 else -1)
+
+
+def test_suffix_text_is_cut_where_passages_repeat(spark):
+    rng = random.Random(10)
+    passage, brief = words(rng, 55)[:330].rsplit(" ", 1)[0], words(rng, 45)
+    assert len(passage.split()) > 50
+    rows = [(i, "\n".join([words(rng, 40), [passage, brief, words(rng, 60)][i % 3], words(rng, 30)])) for i in range(9)]
+    out = {r["doc_id"]: r["text"] for r in suffixes.dedup_text(spark.createDataFrame([(*r, "s", "k") for r in rows], "doc_id long, text string, _spans string, _key string")).collect()}
+    for i, t in rows:
+        assert (passage not in out[i] and len(out[i]) <= len(t) - len(passage)) if i % 3 == 0 else out[i] == t
 
 
 def test_suffix_text_keeps_characters(docs):
@@ -421,6 +505,9 @@ def test_urls(spark):
     assert got[4][:3] == ("x.com", "", None) and got[5][:3] == ("x.com", "", None) and got[6][:3] == ("", "", None) and got[7][:3] == ("", "", None)
     assert got[8] == ("bad.org", "/p", None, "block") and got[200][3] == "allow" and got[9][2] == "com/" and got[10][:3] == ("Ä.net", "/fr", None)
     assert urls.judge_urls(pages.limit(0), outcomes).count() == 0
+    ends = ["shop.a.co.uk", "a.co.uk", "10.0.0.1", "[::1]", "x.y.z", "y.z", "z", "me@x.y.z:8080"]
+    of = {r["h"]: (r["d"], r["s"]) for r in spark.createDataFrame([(e,) for e in ends], "h string").select("h", *(c.alias(n) for c, n in zip(urls.parents(F.col("h")), "ds", strict=True))).collect()}
+    assert of == dict(zip(ends, [("a.co.uk", "co.uk"), ("a.co.uk", "co.uk"), ("10.0.0.1", "[address]"), ("[::1]", "[address]"), ("y.z", "z"), ("y.z", "z"), ("z", "z"), ("y.z", "z")], strict=True))
     assert {r["verdict"] for r in urls.judge_urls(pages, outcomes.limit(0)).collect() if r["page_id"] >= 100} == {"allow"}
 
 
@@ -438,3 +525,53 @@ def test_pipeline_stages(spark, docs, tmp_path):
     left = {r["doc_id"] for r in current.collect()}
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == left and len(left) > 20
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    plain = lambda n: words(rng, n).replace("é", "f")
+    passage, block = plain(70), [plain(6) for _ in range(4)]
+    texts = [plain(rng.randint(20, 90)) for _ in range(24)]
+    texts += [t.rsplit(" ", 1)[0] + " end" for t in texts[:6]] + [texts[7]] * 2
+    texts += [" ".join([plain(30), passage, plain(25)]) for _ in range(4)] + ["\n".join([plain(9), *block, plain(8)]) for _ in range(4)]
+    texts += [plain(20) + " scumbagly " + plain(20) for _ in range(30)] + ["", "word"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame([*rows, (len(rows), None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    known = [(i, 1, int("scumbagly" in t)) for i, t in enumerate(texts) if i % 3]
+    spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    docs = {-1: spark.read.parquet(f"{tmp_path}/documents.parquet")}
+    texts_of = lambda df: [(r["doc_id"], r["text"]) for r in df.orderBy("doc_id").collect()]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs[k - 1], str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs[k] = spark.read.parquet(f"{tmp_path}/{name}")
+    assert list(stages) == ["toxicity", "line_dedup", "near_dedup", "suffix_dedup", "packing"]
+    before, after = texts_of(docs[-1]), texts_of(docs[0])
+    judged = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs[-1], spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    assert after == [r for r in before if not judged[r[0]]] and not any("scumbagly" in (t or "") for _, t in after) and len(after) >= 40
+    before, after = after, texts_of(docs[1])
+    gone = repeated_lines([t or "" for _, t in before])
+    assert after == [(i, t if t is None else "\n".join(s for n, s in enumerate(t.split("\n")) if n not in gone[k])) for k, (i, t) in enumerate(before)] and sum(map(len, gone.values())) == 12
+    before, after = after, texts_of(docs[2])
+    comp = union_find([i for i, _ in before], links(sets([(i, t or "") for i, t in before], 5), 80))
+    assert after == [r for r in before if comp[r[0]] == r[0]] and len(after) < len(before)
+    before, after = after, texts_of(docs[3])
+    want = []
+    for (i, t), (_, spans) in zip(before, covered([(i, t or "") for i, t in before], 200), strict=True):
+        for a, b in reversed([x for x in spans if x[1] - x[0] >= 400 or len(t[x[0] : x[1]].split()) > 50]):
+            t = t[:a] + t[b:]
+        want.append((i, t))
+    assert after == want and sum(a != b for a, b in zip(before, after, strict=True)) == 4
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = {i: len(t.encode(text or "", add_special_tokens=False).ids) + 1 for i, text in after}
+    pieces = docs[4].collect()
+    held = defaultdict(int)
+    for r in pieces:
+        held[r["doc_id"]] += r["length"]
+    assert held == sizes and len({r["sequence_id"] for r in pieces}) == -(-sum(sizes.values()) // 2048)
+    ran = corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset")
+    assert Counter(map(tuple, ran.collect())) == Counter(tuple(r) for r in docs[4].select(ran.columns).collect())

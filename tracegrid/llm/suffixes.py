@@ -17,10 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.llm.text import clean, map_rows, mix64, row_key
-from tracegrid.session import materialise, ship
+from tracegrid.llm.text import clean, map_rows, mix64, row_key, unused
+from tracegrid.session import discard, materialise, ship, tidy
 
 LEAST, GRAM, SEGMENT, BATCH, HEAVY = 400, 32, 1 << 18, 1 << 20, 2 << 20
+PASSAGE, WORDS = 200, 50
 CELLS = (64, 16, 4, 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0xB1))
@@ -55,23 +56,39 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def runs(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (of window starts), smallest hash and number of its occurrences (at most 2 are told apart) of each run of a text."""
+def chosen(grams: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The places whose hash is the smallest of some window: where it equals the largest of the minima of the windows over it."""
+    width = len(grams) - len(low) + 1
+    padded = np.full(len(low) + 2 * (width - 1), np.iinfo(np.uint64).max, np.uint64)
+    padded[width - 1 : width - 1 + len(low)] = ~low
+    return np.flatnonzero(grams == ~sliding_min(padded, width))
+
+
+def runs(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (of window starts), smallest hash, number of places in the text that were smallest with that hash (at most 2 are
+    told apart), and the place in the run where its hash stands (-1: at several) of each run of a text."""
     raw, out = np.frombuffer(data, np.uint8), []
+    width = least - GRAM + 1
     for at in range(0, len(raw) - least + 1, SEGMENT):
-        part = raw[at : at + SEGMENT + least - 1]
-        grams = gram_hashes(part)
-        low = sliding_min(grams, least - GRAM + 1)
+        grams = gram_hashes(raw[at : at + SEGMENT + least - 1])
+        low = sliding_min(grams, width)
         start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         end = np.append(start[1:], len(low))
-        order = np.argsort(grams, kind="stable")
-        ranked = grams[order]
-        key = low[start]
-        first, last = np.searchsorted(ranked, key, side="left"), np.searchsorted(ranked, key, side="right")
-        times = np.minimum(2, last - first)
-        out.append((start + at, end + at, key, times))
+        spots = chosen(grams, low)
+        key, value = low[start], grams[spots]
+        known, count = np.unique(value, return_counts=True)
+        times = np.minimum(2, count[np.searchsorted(known, key)])
+        first, last = np.searchsorted(spots, start), np.searchsorted(spots, end + width - 1)
+        many = last - first
+        run = np.repeat(np.arange(len(start)), many)
+        place = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+        own = value[place] == key[run]
+        run, place = run[own], place[own]
+        only = np.bincount(run, minlength=len(start)) == 1
+        spot = np.where(only, spots[place[np.searchsorted(run, np.arange(len(start)))]] - start, -1)
+        out.append((start + at, end + at, key, times, spot))
     if not out:
-        return (np.empty(0, np.int64),) * 4
+        return (np.empty(0, np.int64),) * 5
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -176,85 +193,144 @@ def pieces_of(body: bytes, owned: int, key: int, cell: int, least: int) -> Itera
         yield int(a), int(b - a), int(p[a] - c * cell), int(p[a] - (c + 1) * cell + 1 + least)
 
 
+def as_bytes(text: str | bytes) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else bytes(text)
+
+
 def find_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, key (hash of the text), spans: flat byte ranges [a, b, ...] of each document that strings of `least` bytes cover which
-    start elsewhere too. docs: doc_id (not null), text (not null), key. Documents without any are not listed."""
+    """doc_id, key, spans: flat byte ranges [a, b, ...] of each document that strings of `least` bytes cover which start elsewhere
+    too. docs: doc_id (not null), key (hash of the text), at (what to add to places in text: a text may be a stretch of a document),
+    text (string or binary, not null). Documents without any are not listed."""
     id_type = dict(docs.dtypes)["doc_id"]
     # rows that repeat a doc_id and its text are one text that occurs so often
     docs = docs.filter(F.octet_length("text") >= least)
 
     def anchors(source: Iterator[dict]) -> Iterator[tuple]:
         for r in source:
-            _, _, key, times = runs(r["text"].encode("utf-8", "surrogatepass"), least)
-            yield r["doc_id"], r["key"], key.view(np.int64).tolist(), times.tolist()
+            _, _, key, times, _ = runs(as_bytes(r["text"]), least)
+            yield r["doc_id"], r["key"], r["at"], key.view(np.int64).tolist(), times.tolist()
 
-    found = map_rows(docs, f"doc_id {id_type}, key long, anchors array<bigint>, times array<int>", anchors, per_batch=200)
-    found = materialise(found.select("doc_id", "key", F.explode(F.arrays_zip("anchors", "times")).alias("a")).select("doc_id", "key", F.col("a.anchors").alias("anchor"), F.col("a.times").alias("times")), "anchors")
-    shared = found.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor")
-    lists = found.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors"))
+    named = f"doc_id {id_type}, key long, at long"
+    found = map_rows(docs, f"{named}, anchors array<bigint>, times array<int>", anchors, per_batch=200)
+    found = materialise(found.select("doc_id", "key", "at", F.explode(F.arrays_zip("anchors", "times")).alias("a")).select("doc_id", "key", "at", F.col("a.anchors").alias("anchor"), F.col("a.times").alias("times")), "anchors")
+    shared = found.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor").hint("shuffle_hash")
+    lists = found.join(shared, "anchor").groupBy("doc_id", "key", "at").agg(F.collect_set("anchor").alias("anchors"))
 
     def contexts(source: Iterator[dict]) -> Iterator[tuple]:
         for r in source:
-            data = r["text"].encode("utf-8", "surrogatepass")
-            start, end, key, _ = runs(data, least)
+            data = as_bytes(r["text"])
+            start, end, key, _, spot = runs(data, least)
             for k in np.flatnonzero(np.isin(key.view(np.int64), np.array(r["anchors"], np.int64))):
                 body = data[start[k] : end[k] - 1 + least]
-                yield r["doc_id"], r["key"], int(start[k]), int(key[k : k + 1].view(np.int64)[0]), xxhash.xxh3_128_digest(body), body
-
-    asked = docs.join(lists, ["doc_id", "key"])
-    placed = materialise(map_rows(asked, f"doc_id {id_type}, key long, start long, anchor long, context binary, body binary", contexts), "contexts")
-    items = placed.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.first("body").alias("body"))
-    items = items.select(F.col("anchor").alias("grp"), F.col("context").alias("piece"), "anchor", F.col("context").alias("root"), F.lit(0).cast("long").alias("off"), "times", "body")
-    items = materialise(items, "items")
-    verdicts = []
+                yield r["doc_id"], r["key"], int(start[k]) + r["at"], int(key[k : k + 1].view(np.int64)[0]), xxhash.xxh3_128_digest(body), int(spot[k]), body
+
+    asked = docs.join(lists, ["doc_id", "key", "at"])
+    placed = materialise(map_rows(asked, f"doc_id {id_type}, key long, start long, anchor long, context binary, spot int, body binary", contexts), "contexts")
+    discard(found)
+    contexts_of = placed.groupBy(F.col("anchor").alias("grp"), F.col("context").alias("piece")).agg(F.count("*").alias("times"), F.min("spot").alias("spot"), F.first("body").alias("body"))
+    level, mapping = materialise(contexts_of.select("grp", "piece", "times", "spot", F.lit(0).cast("long").alias("off"), F.octet_length("body").alias("bytes"), "body"), "items"), None
+    spent, verdicts = [level], []
     for cell in (*CELLS, None):
-        distinct = items.groupBy("grp", "piece").agg(F.sum("times").alias("times"), F.first(F.octet_length("body").cast("long")).alias("bytes"))
-        sizes = distinct.groupBy("grp").agg(F.sum("bytes").alias("size"), F.sum("times").alias("all"))
-        heavy = items.join(sizes.filter(F.col("size") > HEAVY).select("grp"), "grp", "left_semi") if cell else None
-        light = items.join(sizes.filter(F.col("size") <= HEAVY), "grp") if cell else items.join(sizes, "grp")
-        verdicts.append(judged(light, least))
-        if cell is None or heavy.isEmpty():
+        heavy = too_large(level) if cell else None
+        found = judged(level if heavy is None else level.join(heavy, "grp", "left_anti"), least)
+        if mapping is None:
+            verdicts.append(found.select(F.col("grp").alias("anchor"), F.col("piece").alias("root"), F.lit(0).cast("long").alias("off"), "found"))
+        else:
+            verdicts.append(mapping.select("grp", "piece", "anchor", "root", "off").join(found, ["grp", "piece"]).select("anchor", "root", "off", "found"))
+        if heavy is None:
             break
-        items = materialise(split(heavy, cell, least), "items")
+        whole = level.withColumns({"anchor": F.col("grp"), "root": F.col("piece")}) if mapping is None else mapping
+        mapping = materialise(split(whole.join(heavy, "grp", "left_semi"), cell, least), "pieces")
+        pieces = mapping.groupBy("grp", "piece").agg(F.sum("times").alias("times"), F.min("spot").alias("spot"), F.min("off").alias("off"), F.first("body").alias("body"))
+        level = materialise(pieces.select("grp", "piece", "times", "spot", "off", F.octet_length("body").alias("bytes"), "body"), "items")
+        spent += [heavy, mapping, level]
     marked = verdicts[0]
     for v in verdicts[1:]:
         marked = marked.unionByName(v)
     marked = materialise(marked, "marked")
     hits = placed.select("doc_id", "key", "start", "anchor", F.col("context").alias("root")).join(marked, ["anchor", "root"])
     shifted = F.transform(F.col("found"), lambda x, i: F.col("start") + F.col("off") + x + F.when(i % 2 == 1, F.lit(least - 1)).otherwise(F.lit(0)))
-    return hits.select("doc_id", "key", shifted.alias("s")).groupBy("doc_id", "key").agg(F.flatten(F.collect_set("s")).alias("spans"))
+    spans = materialise(hits.select("doc_id", "key", shifted.alias("s")).groupBy("doc_id", "key").agg(F.flatten(F.collect_set("s")).alias("spans")), "spans")
+    discard(placed, marked, *spent)
+    return spans
+
+
+def too_large(items: DataFrame) -> DataFrame | None:
+    """The groups of more than HEAVY bytes, or None where there is none."""
+    heavy = materialise(items.groupBy("grp").agg(F.sum("bytes").alias("size")).filter(F.col("size") > HEAVY).select("grp"), "heavy")
+    with tidy(items.sparkSession):
+        return None if heavy.isEmpty() else heavy
 
 
 def judged(items: DataFrame, least: int) -> DataFrame:
-    """anchor, root, off, found: window ranges of each item (a stretch of a context) that occur at least twice."""
+    """grp, piece, found: window ranges of each item that occur at least twice. items: grp, piece, times, spot, off, body."""
 
     def rows(source: Iterator[dict]) -> Iterator[tuple]:
         held: list[dict] = []
-        size, group = 0, None
-        for r in source:
-            if r["grp"] != group and size >= BATCH:
+        size = 0
+        for group in groups(source):
+            if len(group) == 1 and group[0]["times"] > 1:  # its windows occur as often as it does
+                yield group[0]["grp"], group[0]["piece"], [0, len(group[0]["body"]) - least + 1]
+                continue
+            part = possible(group, least)
+            held += part
+            size += sum(len(r["body"]) for r in part)
+            if size >= BATCH:
                 yield from settle(held, least)
                 held, size = [], 0
-            group = r["grp"]
-            held.append(r)
-            size += len(r["body"])
         if held:
             yield from settle(held, least)
 
-    # a group of one context, met more than once, needs no sorting: its windows occur as often as it does
-    # (met once, a whole context may still repeat within itself; a cell of one cannot)
-    once = items.groupBy("grp", "piece").agg(F.sum("times").alias("times"), F.first("all").alias("all"), F.first("body").alias("body"), F.min("off").alias("off"))
-    alone = once.filter("times = all AND times > 1").select("grp", "piece", F.array(F.lit(0).cast("long"), (F.octet_length("body") - least + 1).cast("long")).alias("found"))
-    dealt = once.filter("times < all OR (times = 1 AND off = 0)").select("grp", "piece", "times", "body").repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp").sortWithinPartitions("grp")
-    found = map_rows(dealt, "grp long, piece binary, found array<bigint>", rows).unionByName(alone)
-    return items.select("grp", "piece", "anchor", "root", "off").join(found, ["grp", "piece"]).select("anchor", "root", "off", "found")
+    dealt = items.select("grp", "piece", "times", "spot", "off", "body").repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp")
+    return map_rows(dealt.sortWithinPartitions("grp"), "grp long, piece binary, found array<bigint>", rows)
+
+
+def groups(rows: Iterator[dict]) -> Iterator[list[dict]]:
+    """Neighbouring rows of one grp."""
+    held: list[dict] = []
+    for r in rows:
+        if held and r["grp"] != held[0]["grp"]:
+            yield held
+            held = []
+        held.append(r)
+    if held:
+        yield held
+
+
+def possible(group: list[dict], least: int) -> list[dict]:
+    """The contexts of a group, cut to the windows that may occur twice. A window holds the group's hash in its first or in its
+    second half, and all windows of a half share the bytes between; where no other context has these bytes, none of them repeats. With a
+    hash that stands at several places of a context nothing is left out."""
+    if len(group) == 1 and (group[0]["spot"] >= 0 or group[0]["off"]):
+        return []  # a context can repeat within itself only with its hash at several places, a later cell of one not at all
+    if any(r["spot"] < 0 for r in group):
+        return [r | {"skip": 0} for r in group]
+    half = (least - GRAM + 2) // 2
+    seen: dict[tuple, int] = {}
+    cores = []
+    for r in group:
+        body, p = r["body"], r["spot"]
+        late = (1, body[p - half : p + GRAM]) if p >= half else None
+        early = (0, body[p : p - half + 1 + least]) if p - (len(body) - least) < half else None
+        cores.append((late, early))
+        for c in (late, early):
+            if c:
+                seen[c] = seen.get(c, 0) + r["times"]
+    out = []
+    for r, (late, early) in zip(group, cores, strict=True):
+        first, last = late is not None and seen[late] > 1, early is not None and seen[early] > 1
+        if first or last:
+            skip = 0 if first or late is None else r["spot"] - half + 1
+            stop = len(r["body"]) if last or early is None else r["spot"] - half + least
+            out.append(r | {"skip": skip, "body": r["body"][skip:stop]})
+    return out
 
 
 def settle(held: list[dict], least: int) -> Iterator[tuple]:
     found = repeated_windows([r["body"] for r in held], [len(r["body"]) - least + 1 for r in held], [r["times"] for r in held], least)
     for r, f in zip(held, found, strict=True):
         if f:
-            yield r["grp"], r["piece"], f
+            yield r["grp"], r["piece"], [x + r["skip"] for x in f]
 
 
 def split(items: DataFrame, cell: int, least: int) -> DataFrame:
@@ -265,9 +341,9 @@ def split(items: DataFrame, cell: int, least: int) -> DataFrame:
             for first, many, a, b in pieces_of(r["body"], len(r["body"]) - least + 1, r["anchor"], cell, least):
                 body = r["body"][first : first + many - 1 + least]
                 grp = xxhash.xxh3_64_intdigest(r["body"][a:b], seed=cell) - (1 << 63)
-                yield grp, xxhash.xxh3_128_digest(body), r["anchor"], r["root"], r["off"] + first, r["times"], body
+                yield grp, xxhash.xxh3_128_digest(body), r["anchor"], r["root"], r["off"] + first, r["times"], -1, body
 
-    schema = "grp long, piece binary, anchor long, root binary, off long, times long, body binary"
+    schema = "grp long, piece binary, anchor long, root binary, off long, times long, spot int, body binary"
     return map_rows(items, schema, rows)
 
 
@@ -291,42 +367,79 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def with_spans(docs: DataFrame, least: int) -> DataFrame:
-    """docs with _spans: null where nothing repeats. Rows that repeat a doc_id and its text count as many occurrences."""
-    keyed = clean(docs.filter("doc_id IS NOT NULL")).withColumn("key", row_key())
-    spans = find_repeats(keyed, least).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    return docs.join(spans, (docs["doc_id"] == spans["_id"]) & (row_key() == spans["_key"]), "left").drop("_id", "_key")
+def keyed(docs: DataFrame) -> DataFrame:
+    return clean(docs.filter("doc_id IS NOT NULL")).withColumn("key", row_key()).withColumn("at", F.lit(0).cast("long"))
+
 
+def with_spans(docs: DataFrame, spans: DataFrame, *names: str) -> DataFrame:
+    """docs with those columns of spans (doc_id, key, ...), null where nothing repeats. Rows that repeat a doc_id and its text count
+    as many occurrences."""
+    i, k = unused(docs, "_id", "_key")
+    listed = spans.withColumnsRenamed({"doc_id": i, "key": k})
+    return docs.join(listed, (docs["doc_id"] == listed[i]) & (row_key() == listed[k]), "left").select(*(docs[c] for c in docs.columns), *names)
 
-def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of docs: every byte is removed that a string of `least` bytes covers
-    which starts anywhere else too, in the same document or another; matches do not cross documents.
+
+def long_stretches(docs: DataFrame, spans: DataFrame, least: int) -> DataFrame:
+    """doc_id, key, at, text (binary): the stretches of at least `least` bytes that the spans of shorter strings cover. A string of
+    `least` bytes that occurs twice lies in one of them, and so does its other occurrence."""
+
+    def rows(source: Iterator[dict]) -> Iterator[tuple]:
+        for r in source:
+            data = as_bytes(r["text"])
+            for a, b in merged(r["spans"]):
+                if b - a >= least:
+                    yield r["doc_id"], r["key"], a, data[a:b]
+
+    return map_rows(docs.drop("at").join(spans, ["doc_id", "key"]), f"doc_id {dict(docs.dtypes)['doc_id']}, key long, at long, text binary", rows, per_batch=500)
+
+
+def is_passage(part: bytes, words: int) -> bool:
+    return len(part) >= LEAST or len(part.split()) > words
+
+
+def remove_repeats(docs: DataFrame, least: int = LEAST, passage: int = PASSAGE, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_bytes per row of docs: every byte is removed that a
+    string of `least` bytes covers which starts anywhere else too, in the same document or another; matches do not cross documents.
+
+    n_passages and n_passage_bytes report, removing nothing more, the stretches covered by strings of `passage` bytes (at most least)
+    that start elsewhere too, as far as a stretch has more than `words` words or LEAST bytes. Strings of `least` bytes are looked
+    for inside the stretches of the shorter ones, as none can lie elsewhere.
 
     Null text counts as empty; texts shorter than `least` are left alone, and rows without doc_id are neither changed nor matched.
     Rows that repeat a doc_id and its text match one another. Other columns are ignored; an empty table gives an empty result."""
     ship(docs.sparkSession)
+    docs = clean(docs)
+    short = find_repeats(keyed(docs), passage)
+    stretches = materialise(long_stretches(keyed(docs), short, least), "stretches")
+    long = find_repeats(stretches, least)
+    discard(stretches)
+    both = short.withColumnRenamed("spans", "short").join(long.withColumnRenamed("spans", "long"), ["doc_id", "key"], "left")
 
     def rows(source: Iterator[dict]) -> Iterator[tuple]:
         for r in source:
-            data, spans = r["text"].encode("utf-8", "surrogatepass"), merged(r["_spans"] or [])
-            yield r["doc_id"], len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut(data, spans)).hexdigest()
+            data, spans = as_bytes(r["text"]), merged(r["long"] or [])
+            passages = [b - a for a, b in merged(r["short"] or []) if is_passage(data[a:b], words)]
+            yield r["doc_id"], len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut(data, spans)).hexdigest(), len(passages), sum(passages)
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return map_rows(with_spans(clean(docs), least), schema, rows)
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long"
+    return map_rows(with_spans(docs, both, "short", "long"), schema, rows)
 
 
-def dedup_text(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with those bytes removed from text, as far as whole characters go: a character of which a repeated string covers a part
-    stays. All rows stay; other columns pass through, n_chars (if there) follows the text; null texts stay null."""
+def dedup_text(docs: DataFrame, least: int = PASSAGE, words: int = WORDS) -> DataFrame:
+    """docs without the passages that occur more than once: stretches covered by strings of `least` bytes that start elsewhere too, as
+    far as a stretch has more than `words` words or LEAST bytes. A character of which a stretch covers a part stays. All rows
+    stay; other columns pass through, n_chars (if there) follows the text; null texts stay null."""
     ship(docs.sparkSession)
-    joined = with_spans(docs, least)
-
+    name = unused(docs, "_spans")[0]
+    joined = with_spans(docs, find_repeats(keyed(docs), least).withColumnRenamed("spans", name), name)
     names = docs.columns
 
     def one(t: str, spans: list[int]) -> str:
-        data = t.encode("utf-8", "surrogatepass")
+        data = as_bytes(t)
         whole = []
         for a, b in merged(spans):
+            if not is_passage(data[a:b], words):
+                continue
             while a < len(data) and data[a] & 0xC0 == 0x80:
                 a += 1
             while b < len(data) and data[b] & 0xC0 == 0x80 and b > a:
@@ -336,7 +449,7 @@ def dedup_text(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("_spans").to_pylist()
+            spans = batch.column(name).to_pylist()
             texts = [one(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
             columns = {n: batch.column(n) for n in names}
             columns["text"] = pa.array(texts, batch.column("text").type)
