@@ -47,13 +47,13 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    n = len(x) - width + 1
-    padded = np.full(-(-len(x) // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(x)] = x
-    blocks = padded.reshape(-1, width)
-    left = np.minimum.accumulate(blocks, axis=1).ravel()
-    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
+    """The smallest of each `width` neighbours, by minima over spans that double."""
+    span = 1
+    while 2 * span <= width:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    rest = width - span
+    return np.minimum(x[: len(x) - rest], x[rest:])
 
 
 def chosen(grams: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -64,32 +64,87 @@ def chosen(grams: np.ndarray, low: np.ndarray) -> np.ndarray:
     return np.flatnonzero(grams == ~sliding_min(padded, width))
 
 
-def runs(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (of window starts), smallest hash, number of places in the text that were smallest with that hash (at most 2 are
-    told apart), and the place in the run where its hash stands (-1: at several) of each run of a text."""
-    raw, out = np.frombuffer(data, np.uint8), []
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def runs_of_parts(parts: list[bytes], least: int) -> Runs:
+    """The runs of all parts, laid end to end, as places in the whole; windows across two parts are left out."""
+    raw = np.frombuffer(b"".join(parts), np.uint8)
     width = least - GRAM + 1
-    for at in range(0, len(raw) - least + 1, SEGMENT):
-        grams = gram_hashes(raw[at : at + SEGMENT + least - 1])
-        low = sliding_min(grams, width)
-        start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        end = np.append(start[1:], len(low))
-        spots = chosen(grams, low)
-        key, value = low[start], grams[spots]
-        known, count = np.unique(value, return_counts=True)
-        times = np.minimum(2, count[np.searchsorted(known, key)])
-        first, last = np.searchsorted(spots, start), np.searchsorted(spots, end + width - 1)
-        many = last - first
-        run = np.repeat(np.arange(len(start)), many)
-        place = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-        own = value[place] == key[run]
-        run, place = run[own], place[own]
-        only = np.bincount(run, minlength=len(start)) == 1
-        spot = np.where(only, spots[place[np.searchsorted(run, np.arange(len(start)))]] - start, -1)
-        out.append((start + at, end + at, key, times, spot))
-    if not out:
-        return (np.empty(0, np.int64),) * 5
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    grams = gram_hashes(raw)
+    owned = np.array([len(p) - least + 1 for p in parts])
+    begin = np.cumsum([0, *map(len, parts[:-1])])
+    window = np.arange(owned.sum()) + np.repeat(begin - np.cumsum(owned) + owned, owned)  # window starts
+    least_of = sliding_min(grams, width)[window]
+    low = np.zeros(len(raw) - least + 1, np.uint64)
+    low[window] = least_of
+    fresh = np.concatenate([[True], least_of[1:] != least_of[:-1]])
+    fresh[np.cumsum(owned)[:-1]] = True
+    first = np.flatnonzero(fresh)
+    start, end = window[first], window[np.append(first[1:], len(window)) - 1] + 1
+    spots = chosen(grams, low)
+    key, value = low[start], grams[spots]
+    known, count = np.unique(value, return_counts=True)
+    times = np.minimum(2, count[np.searchsorted(known, key)])
+    left, right = np.searchsorted(spots, start), np.searchsorted(spots, end + width - 1)
+    many = right - left
+    run = np.repeat(np.arange(len(start)), many)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(left, many)
+    own = value[place] == key[run]
+    run, place = run[own], place[own]
+    only = np.bincount(run, minlength=len(start)) == 1
+    spot = np.where(only, spots[place[np.searchsorted(run, np.arange(len(start)))]] - start, -1)
+    return start, end, key, times, spot
+
+
+def runs_of(texts: list[bytes], least: int) -> list[Runs]:
+    """Start, end (of window starts), smallest hash, number of places that were smallest with that hash (at most 2 are told apart; more
+    than one text can count to it), and the place in the run where its hash stands (-1: at several) of each run of each text. Short
+    texts are laid end to end and long ones cut, so that numpy sees arrays of one size."""
+    found: list[list[Runs]] = [[] for _ in texts]
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+
+    def settle_held() -> None:
+        if held:
+            columns = runs_of_parts([p for _, _, p in held], least)
+            at = 0
+            edges = np.searchsorted(columns[0], np.cumsum([len(p) for _, _, p in held]))
+            shift = 0
+            for (text, offset, part), stop in zip(held, edges, strict=True):
+                start, end, *rest = (c[at:stop] for c in columns)
+                found[text].append((start - shift + offset, end - shift + offset, *rest))
+                at, shift = stop, shift + len(part)
+            held.clear()
+
+    for number, data in enumerate(texts):
+        for at in range(0, len(data) - least + 1, SEGMENT):
+            part = data[at : at + SEGMENT + least - 1]
+            if size + len(part) > SEGMENT + 4096:
+                settle_held()
+                size = 0
+            held.append((number, at, part))
+            size += len(part)
+    settle_held()
+    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+    return [tuple(np.concatenate(c) for c in zip(*f, strict=True)) if f else none for f in found]
+
+
+def runs(data: bytes, least: int) -> Runs:
+    return runs_of([data], least)[0]
+
+
+def with_runs(source: Iterator[dict], least: int) -> Iterator[tuple[dict, bytes, Runs]]:
+    """Each row with its text's bytes and runs; rows are gathered to about a segment of text."""
+    held: list[tuple[dict, bytes]] = []
+    size = 0
+    for r in source:
+        held.append((r, as_bytes(r["text"])))
+        size += len(held[-1][1])
+        if size >= SEGMENT:
+            yield from ((*h, f) for h, f in zip(held, runs_of([d for _, d in held], least), strict=True))
+            held, size = [], 0
+    yield from ((*h, f) for h, f in zip(held, runs_of([d for _, d in held], least), strict=True))
 
 
 def sorted_suffixes(text: np.ndarray, least: int) -> np.ndarray:
@@ -206,8 +261,7 @@ def find_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     docs = docs.filter(F.octet_length("text") >= least)
 
     def anchors(source: Iterator[dict]) -> Iterator[tuple]:
-        for r in source:
-            _, _, key, times, _ = runs(as_bytes(r["text"]), least)
+        for r, _, (_, _, key, times, _) in with_runs(source, least):
             yield r["doc_id"], r["key"], r["at"], key.view(np.int64).tolist(), times.tolist()
 
     named = f"doc_id {id_type}, key long, at long"
@@ -217,9 +271,7 @@ def find_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     lists = found.join(shared, "anchor").groupBy("doc_id", "key", "at").agg(F.collect_set("anchor").alias("anchors"))
 
     def contexts(source: Iterator[dict]) -> Iterator[tuple]:
-        for r in source:
-            data = as_bytes(r["text"])
-            start, end, key, _, spot = runs(data, least)
+        for r, data, (start, end, key, _, spot) in with_runs(source, least):
             for k in np.flatnonzero(np.isin(key.view(np.int64), np.array(r["anchors"], np.int64))):
                 body = data[start[k] : end[k] - 1 + least]
                 yield r["doc_id"], r["key"], int(start[k]) + r["at"], int(key[k : k + 1].view(np.int64)[0]), xxhash.xxh3_128_digest(body), int(spot[k]), body
