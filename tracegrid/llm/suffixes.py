@@ -148,28 +148,39 @@ def with_runs(source: Iterator[dict], least: int) -> Iterator[tuple[dict, bytes,
 
 
 def sorted_suffixes(text: np.ndarray, least: int) -> np.ndarray:
-    """Order of the suffixes by at least their first `least` symbols (0..256), by doubling from packed symbols."""
+    """Order of the suffixes by at least their first `least` symbols (0..256), by doubling from packed symbols. A key and its place
+    share one integer where they fit, as plain values sort much faster than an order."""
     n = len(text)
-    span = 7
-    padded = np.zeros(n + span, np.uint64)
-    padded[:n] = text.astype(np.uint64) + np.uint64(1)
-    key = np.zeros(n, np.uint64)
+    code = np.zeros(257, np.int64)
+    code[np.unique(text)] = 1
+    code = np.cumsum(code)
+    place, symbol = n.bit_length(), int(code[-1]).bit_length()
+    span = max(1, (63 - place) // symbol)
+    padded = np.zeros(n + span, np.int64)
+    padded[:n] = code[text]
+    key = np.zeros(n, np.int64)
     for k in range(span):
-        key = (key << np.uint64(9)) | padded[k : k + n]
-    key = key.view(np.int64)
+        key = (key << symbol) | padded[k : k + n]
+    bits = span * symbol
+    where = np.arange(n)
     while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        fresh = np.empty(n, np.int64)
-        fresh[0] = 1
-        np.cumsum(ranked[1:] != ranked[:-1], out=fresh[1:])
-        fresh[1:] += 1
+        if bits + place <= 63:
+            packed = np.sort((key << place) | where)
+            order = packed & ((1 << place) - 1)
+            ranked = packed >> place
+        else:
+            order = np.argsort(key)
+            ranked = key[order]
+        fresh = np.ones(n, np.int64)
+        fresh[1:] = ranked[1:] != ranked[:-1]
+        np.cumsum(fresh, out=fresh)
         if span >= least or fresh[-1] == n:
             return order
         rank = np.zeros(n + span, np.int64)
         rank[order] = fresh
-        key = rank[:n] * (n + 1) + rank[span : span + n]
-        span *= 2
+        width = int(fresh[-1]).bit_length()
+        key = (rank[:n] << width) | rank[span : span + n]
+        bits, span = 2 * width, span * 2
 
 
 def boundaries(text: np.ndarray, order: np.ndarray, least: int, separator: int = 256) -> np.ndarray:
