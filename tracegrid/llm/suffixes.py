@@ -234,10 +234,11 @@ def repeated_windows(bodies: list[bytes], owned: list[int], times: list[int], le
         weight[at : at + own] = many
     order = sorted_suffixes(text, least)
     first = np.flatnonzero(boundaries(text, order, least))
-    total = np.add.reduceat(weight[order], first)
+    counted = weight[order]
+    total = np.add.reduceat(counted, first)
     member = np.repeat(total >= 2, np.diff(np.append(first, len(order))))
     hit = np.zeros(len(text) + 1, bool)
-    hit[order] = member & (weight[order] > 0)
+    hit[order] = member & (counted > 0)
     out = []
     for at, own in zip(starts, owned, strict=True):
         h = np.concatenate([[False], hit[at : at + own], [False]])
@@ -266,26 +267,32 @@ def as_bytes(text: str | bytes) -> bytes:
 def find_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, key, spans: flat byte ranges [a, b, ...] of each document that strings of `least` bytes cover which start elsewhere
     too. docs: doc_id (not null), key (hash of the text), at (what to add to places in text: a text may be a stretch of a document),
-    text (string or binary, not null). Documents without any are not listed."""
+    text (string or binary, not null). Documents without any are not listed. A run's place is its start (31 bits), number of windows
+    (19 bits: a segment at most) and the place of its hash in it, plus one (13 bits), so that texts are hashed once."""
+    assert least <= 4096
     id_type = dict(docs.dtypes)["doc_id"]
     # rows that repeat a doc_id and its text are one text that occurs so often
     docs = docs.filter(F.octet_length("text") >= least)
 
     def anchors(source: Iterator[dict]) -> Iterator[tuple]:
-        for r, _, (_, _, key, times, _) in with_runs(source, least):
-            yield r["doc_id"], r["key"], r["at"], key.view(np.int64).tolist(), times.tolist()
+        for r, _, (start, end, key, times, spot) in with_runs(source, least):
+            yield r["doc_id"], r["key"], r["at"], key.view(np.int64).tolist(), times.tolist(), (start << 32 | end - start << 13 | spot + 1).tolist()
 
     named = f"doc_id {id_type}, key long, at long"
-    found = map_rows(docs, f"{named}, anchors array<bigint>, times array<int>", anchors, per_batch=200)
-    found = materialise(found.select("doc_id", "key", "at", F.explode(F.arrays_zip("anchors", "times")).alias("a")).select("doc_id", "key", "at", F.col("a.anchors").alias("anchor"), F.col("a.times").alias("times")), "anchors")
+    listed = map_rows(docs, f"{named}, anchor array<bigint>, times array<int>, place array<bigint>", anchors, per_batch=200)
+    each = listed.select("doc_id", "key", "at", F.explode(F.arrays_zip("anchor", "times", "place")).alias("a"))
+    found = materialise(each.select("doc_id", "key", "at", "a.anchor", "a.times", "a.place"), "anchors")
     shared = found.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor").hint("shuffle_hash")
-    lists = found.join(shared, "anchor").groupBy("doc_id", "key", "at").agg(F.collect_set("anchor").alias("anchors"))
+    lists = found.join(shared, "anchor").groupBy("doc_id", "key", "at").agg(F.collect_set(F.struct("anchor", "place")).alias("a"))
+    lists = lists.select("doc_id", "key", "at", F.col("a.anchor").alias("anchors"), F.col("a.place").alias("places"))
 
     def contexts(source: Iterator[dict]) -> Iterator[tuple]:
-        for r, data, (start, end, key, _, spot) in with_runs(source, least):
-            for k in np.flatnonzero(np.isin(key.view(np.int64), np.array(r["anchors"], np.int64))):
-                body = data[start[k] : end[k] - 1 + least]
-                yield r["doc_id"], r["key"], int(start[k]) + r["at"], int(key[k : k + 1].view(np.int64)[0]), xxhash.xxh3_128_digest(body), int(spot[k]), body
+        for r in source:
+            data = as_bytes(r["text"])
+            for anchor, place in zip(r["anchors"], r["places"], strict=True):
+                start, windows, spot = place >> 32, place >> 13 & 0x7FFFF, (place & 0x1FFF) - 1
+                body = data[start : start + windows - 1 + least]
+                yield r["doc_id"], r["key"], start + r["at"], anchor, xxhash.xxh3_128_digest(body), spot, body
 
     asked = docs.join(lists, ["doc_id", "key", "at"])
     placed = materialise(map_rows(asked, f"doc_id {id_type}, key long, start long, anchor long, context binary, spot int, body binary", contexts), "contexts")
