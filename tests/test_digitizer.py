@@ -172,3 +172,43 @@ def test_geometry_fourth_corner(spark):
     lit = F.lit
     four = geometry.fourth_corner({"tl": (lit(0.0), lit(0.0)), "tr": (lit(2.0), lit(0.0)), "bl": (lit(0.0), lit(3.0))})
     assert tuple(spark.range(1).select(*four["br"]).first()) == (2.0, 3.0)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the driver's tables are not there")
+@pytest.mark.parametrize("name", ["legend_box"])
+def test_legend_with_points_beyond_the_edge(spark, tmp_path, name):
+    import duckdb
+
+    from tracegrid.plans import queries
+
+    con = duckdb.connect()
+    # items at 105,000 are pixels of row 50 of 50
+    con.execute("CREATE TABLE lineitem AS FROM '/root/testdata/sf0.001/lineitem.parquet'")
+    con.execute("INSERT INTO lineitem SELECT * REPLACE (105000.0 AS l_extendedprice) FROM lineitem WHERE l_orderkey < 40")
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    want = con.sql(queries.ORACLES[name]).fetchall()
+    assert want and sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_legend_box_by_every_place(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for image in range(6):
+        legend = {(int(a), int(b)) for a, b in rng.integers(0, 9, (60, 2)) + rng.integers(0, 30, 2)}
+        rows += [(image, a, b) for a, b in legend | {(int(a), int(b)) for a, b in rng.integers(-4, 45, (2 + image, 2))}]
+    got = {r["image_id"]: tuple(r)[1:] for r in pixels.legend_box(spark.createDataFrame(rows, "image_id int, x int, y int"), 40, 30).collect()}
+
+    def first(points):
+        shares = (0.15, 0.2, 0.25, 0.3, 0.35)
+        for w, h in ((round(fx * 40), round(fy * 30)) for fx in shares for fy in shares):
+            for y0 in range(-h + 1, 30):
+                for x0 in range(-w + 1, 40):
+                    a, b, c, d = max(0, x0), max(0, y0), min(40, x0 + w), min(30, y0 + h)
+                    out = [(x, y) for x, y in points if not (a <= x < c and b <= y < d)]
+                    n = len(points) - len(out)
+                    if n >= 20 and n >= 0.002 * (c - a) * (d - b) and out and min(np.hypot(max(a - x, 0, x - c), max(b - y, 0, y - d)) for x, y in out) >= 0.07 * 40:
+                        return a, b, c, d
+        return None
+
+    want = {i: first([(x, y) for k, x, y in rows if k == i]) for i in range(6)}
+    assert got == {i: box for i, box in want.items() if box} and 1 < len(got)

@@ -228,30 +228,47 @@ def chamfer(mask: DataFrame, width: int, height: int) -> DataFrame:
 
 def legend_box(points: DataFrame, width: int | None, height: int | None, shares: tuple = (0.15, 0.2, 0.25, 0.3, 0.35), least: int = 20, fill: float = 0.002, isolation: float = 0.07) -> DataFrame:
     """image_id, x0, y0, x1, y1: the first box, by size then place, that holds enough points of the image (x, y), is filled enough,
-    and keeps every outside point far away. A kernel per image over two-dimensional prefix sums. Without a width and height the
-    points' own columns of these names tell them."""
+    and keeps every outside point far away; points beyond the image's edge are outside of every box. A kernel per image: all places of
+    a size are judged at once over two-dimensional prefix sums. Without a width and height the points' own columns of these names tell
+    them."""
     known = (F.lit(width) if width else F.col("width")).cast("int").alias("width"), (F.lit(height) if height else F.col("height")).cast("int").alias("height")
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         width, height = int(frame["width"].iloc[0]), int(frame["height"].iloc[0])
-        count = np.zeros((height + 1, width + 1), np.int64)
-        np.add.at(count, (frame["y"].to_numpy() + 1, frame["x"].to_numpy() + 1), 1)
-        prefix = count.cumsum(0).cumsum(1)
-        px, py = frame["x"].to_numpy(float), frame["y"].to_numpy(float)
+        frame = frame.dropna(subset=["x", "y"])
+        px, py = frame["x"].to_numpy(np.int64), frame["y"].to_numpy(np.int64)
         step, far = max(1, round(0.01 * min(width, height))), isolation * max(width, height)
+        # points up to pad cells beyond the edge can still be too near to a box
+        pad = int(np.ceil(far)) + 1
+        seen = (px >= -pad) & (px < width + pad) & (py >= -pad) & (py < height + pad)
+        count = np.zeros((height + 2 * pad + 1, width + 2 * pad + 1), np.int64)
+        np.add.at(count, (py[seen] + pad + 1, px[seen] + pad + 1), 1)
+        prefix = count.cumsum(0).cumsum(1)
+        # how far to the sides a point is too near, by its rows above or below the box
+        reach = [int((np.hypot(np.arange(pad + 1), up) < far).sum()) - 1 for up in range(pad + 1)]
+        rows = [(up, r) for up, r in enumerate(reach) if r >= 0]
+
+        def held(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+            a, c = np.maximum(a, -pad) + pad, np.minimum(c, width + pad) + pad
+            b, d = np.maximum(b, -pad) + pad, np.minimum(d, height + pad) + pad
+            return prefix[d, c] - prefix[b, c] - prefix[d, a] + prefix[b, a]
+
         for fx in shares:
             for fy in shares:
                 w, h = max(1, round(fx * width)), max(1, round(fy * height))
-                for y0 in range(-h + 1, height, step):
-                    for x0 in range(-w + 1, width, step):
-                        a, b, c, d = max(0, x0), max(0, y0), min(width, x0 + w), min(height, y0 + h)
-                        n = prefix[d, c] - prefix[b, c] - prefix[d, a] + prefix[b, a]
-                        if n < least or n < fill * (c - a) * (d - b) or n == len(frame):
-                            continue
-                        out = ~((px >= a) & (px < c) & (py >= b) & (py < d))
-                        gap = np.hypot(np.maximum(np.maximum(a - px, 0), px - c), np.maximum(np.maximum(b - py, 0), py - d))[out]
-                        if gap.min() >= far:
-                            return pd.DataFrame([(frame["image_id"].iloc[0], a, b, c, d)], columns=["image_id", "x0", "y0", "x1", "y1"])
+                y0, x0 = (g.ravel() for g in np.meshgrid(np.arange(-h + 1, height, step), np.arange(-w + 1, width, step), indexing="ij"))
+                a, b, c, d = np.maximum(0, x0), np.maximum(0, y0), np.minimum(width, x0 + w), np.minimum(height, y0 + h)
+                n = held(a, b, c, d)
+                some = np.flatnonzero((n >= least) & (n >= fill * (c - a) * (d - b)) & (n != len(px)))
+                a, b, c, d, n = (v[some] for v in (a, b, c, d, n))
+                near = -n
+                for up, r in rows:
+                    # a point at the far edge (x = c, y = d) is outside and no distance away
+                    near = near + (held(a - r, b, c + r + 1, d + 1) if not up else held(a - r, b - up, c + r + 1, b - up + 1) + held(a - r, d + up, c + r + 1, d + up + 1))
+                alone = np.flatnonzero(near == 0)
+                if len(alone):
+                    k = alone[0]
+                    return pd.DataFrame([(frame["image_id"].iloc[0], a[k], b[k], c[k], d[k])], columns=["image_id", "x0", "y0", "x1", "y1"])
         return nothing("image_id", "x0", "y0", "x1", "y1")
 
     return points.select("image_id", "x", "y", *known).distinct().groupBy("image_id").applyInPandas(kernel, f"image_id {dict(points.dtypes)['image_id']}, x0 int, y0 int, x1 int, y1 int")
