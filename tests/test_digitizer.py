@@ -175,7 +175,7 @@ def test_geometry_fourth_corner(spark):
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the driver's tables are not there")
-@pytest.mark.parametrize("name", ["legend_box"])
+@pytest.mark.parametrize("name", ["legend_box", "legend_erase"])
 def test_legend_with_points_beyond_the_edge(spark, tmp_path, name):
     import duckdb
 
