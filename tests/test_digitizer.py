@@ -212,3 +212,16 @@ def test_legend_box_by_every_place(spark):
 
     want = {i: first([(x, y) for k, x, y in rows if k == i]) for i in range(6)}
     assert got == {i: box for i, box in want.items() if box} and 1 < len(got)
+
+
+def test_silhouette_query_scores_every_point(spark, tmp_path):
+    from tracegrid.operators import cluster
+    from tracegrid.plans import queries
+
+    rng = np.random.default_rng(3)
+    x, label = rng.normal(size=(4100, 4)).astype(np.float32), rng.integers(0, 3, 4100)
+    x[4000:] = x[0] + 1e-3 * x[4000:]  # near one point, so that differences are small
+    label[label == 2] = np.where(np.arange((label == 2).sum()) < 1, 2, 0)  # one alone
+    pd.DataFrame({"vec_id": np.arange(4100), "embedding": list(x), "label": label.astype(np.int32)}).to_parquet(tmp_path / "embeddings.parquet")
+    want = cluster.silhouette_values(x.astype(float), label).mean()
+    assert [tuple(r) for r in queries.QUERIES["silhouette"](spark, str(tmp_path)).collect()] == [(0, 4100, round(want, 6))]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.config import EngineConfig
-from tracegrid.operators.pixels import relabel
+from tracegrid.operators.pixels import nothing, relabel
 from tracegrid.session import materialise
 
 
@@ -74,6 +74,17 @@ def k_means(features: DataFrame, centres: DataFrame, rounds: int) -> DataFrame:
     return centres
 
 
+def silhouette_of(sums: np.ndarray, own: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Silhouette of rows from the sums of their distances to each cluster, their own clusters and the clusters' sizes."""
+    line = np.arange(len(own))
+    a = sums[line, own] / np.maximum(size[own] - 1, 1)
+    mean = sums / size
+    mean[line, own] = np.inf
+    b = mean.min(1)
+    top = np.maximum(a, b)
+    return np.where(size[own] == 1, 1.0, np.where(top > 0, (b - a) / np.where(top > 0, top, 1), 0.0))
+
+
 def silhouette_values(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Silhouette of each row; 1 where a row is alone in its cluster."""
     names, code = np.unique(labels, return_inverse=True)
@@ -82,30 +93,67 @@ def silhouette_values(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
     for at in range(0, len(x), 512):
         d = np.sqrt(np.maximum(((x[at : at + 512, None] - x[None]) ** 2).sum(2), 0))
         sums = np.stack([d[:, code == k].sum(1) for k in range(len(names))], 1)
-        own = code[at : at + 512]
-        line = np.arange(len(own))
-        a = sums[line, own] / np.maximum(size[own] - 1, 1)
-        mean = sums / size
-        mean[line, own] = np.inf
-        b = mean.min(1)
-        top = np.maximum(a, b)
-        out[at : at + 512] = np.where(size[own] == 1, 1.0, np.where(top > 0, (b - a) / np.where(top > 0, top, 1), 0.0))
+        out[at : at + 512] = silhouette_of(sums, code[at : at + 512], size)
     return out
 
 
-def silhouette(features: DataFrame, key: str, max_points: int = 4000) -> DataFrame:
-    """key, points, silhouette: the mean over at most max_points rows (id, f, label) of each group, chosen by a hash of id; -1 for one label."""
-
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        x, lab = np.stack(frame["f"].to_numpy()), frame["label"].to_numpy()
-        value = float(silhouette_values(x, lab).mean()) if len(np.unique(lab)) > 1 else -1.0
-        return pd.DataFrame({key: [frame[key].iloc[0]], "points": [len(frame)], "silhouette": [value]})
-
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(key).orderBy(F.xxhash64("id"), "id")
-    sample = features.select(key, "id", "f", "label").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_points).drop("_n")
-    return sample.groupBy(key).applyInPandas(kernel, f"{key} {dict(features.dtypes)[key]}, points long, silhouette double")
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows; those of which a product of the rows would leave few digits are taken from the differences."""
+    scale = (x * x).sum(1)[:, None] + (y * y).sum(1)
+    d2 = scale - 2 * (x @ y.T)
+    i, j = np.nonzero(d2 < 1e-4 * scale)
+    for at in range(0, len(i), 1 << 17):
+        m, n = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+        d2[m, n] = ((x[m] - y[n]) ** 2).sum(1)
+    return np.sqrt(np.maximum(d2, 0))
+
+
+def silhouette(features: DataFrame, key: str, max_points: int | None = 4000, block: int = 16_384) -> DataFrame:
+    """key, points, silhouette: the mean over the rows (id, f, label) of each group, or over max_points of them chosen by a hash of id;
+    -1 for one label. The rows of a group are dealt into blocks of at most about `block`; a task has the distances between two blocks,
+    summed by label, so the work grows with the square of a group and each row is sent to all of its group's blocks."""
+    ids = features.select(key, "id", "f", "label")
+    if max_points is not None:
+        order = Window.partitionBy(key).orderBy(F.xxhash64("id"), "id")
+        ids = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_points).drop("_n")
+    # written, so that a row keeps its number
+    rows = materialise(ids.select(F.col(key).alias("g"), "f", F.col("label").alias("l"), F.monotonically_increasing_id().alias("r")), "points")
+    labels = rows.groupBy("g", "l").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("g")
+    labels = labels.select(F.col("g").alias("lg"), F.col("l").alias("ll"), (F.dense_rank().over(whole.orderBy("l")) - 1).alias("code"), F.count("*").over(whole).alias("k"), F.sum("n").over(whole).alias("total"))
+    rows = rows.join(labels, F.col("g").eqNullSafe(F.col("lg")) & F.col("l").eqNullSafe(F.col("ll")))
+    # a group has at least eight blocks, if it has 1,000 rows for each: small groups are spread over tasks too
+    parts = F.greatest(F.ceil(F.col("total") / block), F.least(F.lit(8), F.ceil(F.col("total") / 1000))).cast("int")
+    dealt = rows.select("g", "r", "f", "code", "k", parts.alias("p")).withColumn("own", F.pmod(F.xxhash64("r"), F.col("p")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("p") - 1))
+    asks = dealt.select("g", F.col("own").alias("i"), every.alias("j"), "r", "f", "code", "k", F.lit(True).alias("asks"))
+    met = dealt.select("g", every.alias("i"), F.col("own").alias("j"), "r", "f", "code", "k", F.lit(False).alias("asks"))
+
+    def cell(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("r")
+        a, b = frame[frame["asks"]], frame[~frame["asks"]]
+        if not len(a) or not len(b):
+            return nothing("g", "i", "codes", "sums", "sizes")
+        k = int(frame["k"].iloc[0])
+        x, y, code = np.stack(a["f"].to_numpy()).astype(float), np.stack(b["f"].to_numpy()).astype(float), b["code"].to_numpy()
+        by = np.argsort(code, kind="stable")
+        y, first = y[by], np.flatnonzero(np.diff(code[by], prepend=-1))
+        sums = np.zeros((len(x), k))
+        step = max(1, (1 << 22) // len(y))
+        for at in range(0, len(x), step):
+            sums[at : at + step, code[by][first]] = np.add.reduceat(distances(x[at : at + step], y), first, axis=1)
+        return pd.DataFrame({"g": [frame["g"].iloc[0]], "i": [frame["i"].iloc[0]], "codes": [a["code"].to_numpy()], "sums": [sums.ravel()], "sizes": [np.bincount(code, minlength=k)]})
+
+    def values(frame: pd.DataFrame) -> pd.DataFrame:
+        own, size = frame["codes"].iloc[0], frame["sizes"].sum()
+        sums = frame["sums"].sum().reshape(len(own), len(size))
+        out = -np.ones(len(own)) if len(size) < 2 else silhouette_of(sums, own, size)
+        return pd.DataFrame({"g": [frame["g"].iloc[0]], "n": [len(own)], "s": [out.sum()]})
+
+    kind = dict(features.dtypes)[key]
+    cells = materialise(asks.unionByName(met).groupBy("g", "i", "j").applyInPandas(cell, f"g {kind}, i int, codes array<int>, sums array<double>, sizes array<long>"), "cells")
+    out = cells.groupBy("g", "i").applyInPandas(values, f"g {kind}, n long, s double")
+    return out.groupBy(F.col("g").alias(key)).agg(F.sum("n").alias("points"), (F.sum("s") / F.sum("n")).alias("silhouette"))
 
 
 def seed_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
