@@ -111,6 +111,17 @@ def test_graph_search_alone():
     assert want.sum() > 20_000 and (got & ~want).sum() == 0 and (got & want).sum() >= 0.99 * want.sum()
 
 
+def test_graph_search_finds_a_loose_group_without_a_scan():
+    """A group of 900 whose members are within range of only a part of it, among vectors without links."""
+    rng = np.random.default_rng(6)
+    group = rng.normal(size=64) / 8 + rng.normal(size=(900, 64)) * rng.uniform(0.008, 0.03, (900, 1))
+    x = vectors.unit(np.concatenate([group, rng.normal(size=(3000, 64)) / 8])[rng.permutation(3900)])
+    want = vectors.scan(x, np.arange(len(x)), 0.98 - 1e-9)
+    hits, true, found = vectors.search_block(x, np.arange(len(x)), 0.98, audit_share=1.0)
+    assert 100_000 < want.sum() < 800_000 and true == want.sum() and found >= 0.9999 * true
+    assert [h.tolist() for h in hits] == [np.flatnonzero(m).tolist() for m in want]
+
+
 def test_a_block_where_the_search_misses_is_scanned(monkeypatch):
     rng = np.random.default_rng(2)
     x = vectors.unit(np.repeat(rng.normal(size=(40, 8)), 5, axis=0) + rng.normal(size=(200, 8)) * 0.01)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracegrid.llm.components import connected_components
 from tracegrid.session import discard, materialise, ship
 
-CELL, SAMPLE, MAX_CELLS, AUDIT = 2000, 20_000, 1024, 0.125
+CELL, SAMPLE, MAX_CELLS, AUDIT = 20_000, 20_000, 1024, 0.125
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -108,39 +108,62 @@ def robust_prune(y: np.ndarray, rows: np.ndarray, near: np.ndarray, degree: int,
     return chosen
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, least: float, budget: int = 48, width: int = 4) -> np.ndarray:
-    """Greedy best-first search of the graph for each query row (an id), width nodes at a time, from the entries and the query's own
-    node: budget expansions to reach the neighbourhood, then on while any visited vector within range is unexpanded. Boolean matrix
-    of the hits."""
+def range_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, least: float, budget: int = 16, width: int = 4, beam: int = 48) -> np.ndarray:
+    """Greedy best-first search of the graph for each query row (an id), width nodes at a time, from the query's own node and the
+    entries: budget expansions to reach the neighbourhood, then on while any visited vector within range is unexpanded. The nodes to
+    expand are kept in a beam, so a round costs the neighbours that it sees, not the table. Boolean matrix of the hits."""
     n = len(x)
-    sims = np.full((len(queries), n), -np.inf)
+    hits = np.zeros((len(queries), n), bool)
+    seen = np.zeros((len(queries), n), bool)
     target = x[queries]
-    sims[:, entries] = target @ x[entries].T
-    sims[np.arange(len(queries)), queries] = 1
-    done = np.zeros((len(queries), n), bool)
-    spent = 0
-    active = np.arange(len(queries))
+    line = np.arange(len(queries))
+    hits[line, queries] = True
+    seen[line, queries] = True
+    first = (target @ x[entries].T)[:, :, None] if len(entries) else np.empty((len(queries), 0, 1))
+    first[entries[None, :, None] == queries[:, None, None]] = -np.inf
+    row, col = np.nonzero(first[:, :, 0] >= least)
+    hits[row, entries[col]] = True
+    seen[:, entries] = True
+    nodes = np.concatenate([queries[:, None], np.broadcast_to(entries, (len(queries), len(entries)))], axis=1)
+    sims = np.concatenate([np.ones((len(queries), 1)), first[:, :, 0]], axis=1)
+    active, spent = line, 0
     while len(active):
-        open_ = np.where(done[active], -np.inf, sims[active])
-        take = min(width, n)
-        top = np.argpartition(-open_, take - 1, axis=1)[:, :take]
-        best = np.take_along_axis(open_, top, 1)
+        if sims.shape[1] > beam:
+            # nodes within range are never dropped from the beam
+            keep = max(beam, int((sims >= least).sum(1).max()))
+            if sims.shape[1] > keep:
+                top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
+                nodes, sims = np.take_along_axis(nodes, top, 1), np.take_along_axis(sims, top, 1)
+        take = min(width, sims.shape[1])
+        top = np.argpartition(-sims, take - 1, axis=1)[:, :take]
+        best = np.take_along_axis(sims, top, 1)
         usable = best > -np.inf if spent < budget else best >= least
         going = usable.any(1)
-        active, top, usable = active[going], top[going], usable[going]
+        if not going.all():
+            active, nodes, sims, top, usable = active[going], nodes[going], sims[going], top[going], usable[going]
         if not len(active):
             break
-        row, col = np.nonzero(usable)
-        node = top[row, col]
-        done[active[row], node] = True
-        around = graph[node]
-        r = np.repeat(active[row], around.shape[1])
-        a = around.ravel()
-        new = np.isneginf(sims[r, a])
-        r, a = r[new], a[new]
-        sims[r, a] = np.einsum("ij,ij->i", target[r], x[a])
+        node = np.take_along_axis(nodes, top, 1)
+        np.put_along_axis(sims, top, np.where(usable, -np.inf, np.take_along_axis(sims, top, 1)), 1)
+        around = graph[node].reshape(len(active), -1)
+        fresh = ~seen[active[:, None], around] & np.repeat(usable, graph.shape[1], axis=1)
+        r, c = np.nonzero(fresh)
+        a = around[r, c]
+        key = active[r] * n + a
+        _, once = np.unique(key, return_index=True)
+        r, a = r[once], a[once]
+        seen[active[r], a] = True
+        sim = np.einsum("ij,ij->i", target[active[r]], x[a])
+        hits[active[r], a] = sim >= least
+        # the new nodes, a row a query, are appended to the beam
+        count = np.bincount(r, minlength=len(active))
+        place = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+        new = np.full((len(active), int(count.max(initial=0))), -np.inf)
+        ids = np.zeros(new.shape, np.int64)
+        new[r, place], ids[r, place] = sim, a
+        nodes, sims = np.concatenate([nodes, ids], axis=1), np.concatenate([sims, new], axis=1)
         spent += width
-    return sims >= least
+    return hits
 
 
 def scan(x: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
@@ -150,24 +173,81 @@ def scan(x: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
     return out
 
 
+def lead_of(x: np.ndarray, least: float, shard: int = 600) -> np.ndarray:
+    """For each vector the id of its lead, itself or a vector within range: the vectors of a shard (those nearest to one centre) are
+    led by the first of them that is within range and has no other lead. Near copies so share one node of the graph."""
+    lead = np.arange(len(x))
+    c = k_means(x, max(1, math.ceil(len(x) / shard)), 4)
+    home = (x @ c.T - (c * c).sum(1) / 2).argmax(1)
+    order = np.argsort(home, kind="stable")
+    for members in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+        for part in range(0, len(members), 4 * shard):
+            m = members[part : part + 4 * shard]
+            near = x[m] @ x[m].T >= least
+            near[np.arange(len(m)), np.arange(len(m))] = False
+            free = np.ones(len(m), bool)
+            for i in np.flatnonzero(near.any(1)):
+                if free[i]:
+                    free[i] = False
+                    led = near[i] & free
+                    lead[m[led]] = m[i]
+                    free &= ~led
+    return lead
+
+
 def search_block(x: np.ndarray, queries: np.ndarray, least: float, audit_share: float = AUDIT) -> tuple[list[np.ndarray], int, int]:
     """Hits of each query (ids, itself left out) by the graph search, and the audit: the links that a scan has for the audited share of
     the queries (the first of each thousand), and how many of them the search had found. Where it had missed any, the whole block
-    is scanned, so no miss that the audit can see stays in the result."""
-    graph, entries = build_graph(x)
-    hits: list[np.ndarray] = []
-    true = found = 0
+    is scanned, so no miss that the audit can see stays in the result.
+
+    The graph's nodes are the leads. Two vectors within range have leads no farther apart than the range and the distances to both
+    leads; so the graph is searched for the leads within the range and twice the largest such distance, and the vectors of those that
+    are near enough are compared. Links are then what the exact comparison keeps."""
+    lead = lead_of(x, least - 1e-9)
+    leads, of = np.unique(lead, return_inverse=True)
+    chord = np.sqrt(np.maximum(0, ((x - x[lead]) ** 2).sum(1)))
+    radius = np.zeros(len(leads))
+    np.maximum.at(radius, of, chord)
+    by = np.argsort(of, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(leads)))])
+    y = x[leads]
+    graph, entries = build_graph(y, degree=12, pool=24)
+    reach = math.sqrt(2 - 2 * (least - 1e-9))
+    wide = 1 - (reach + 2 * radius.max()) ** 2 / 2 - 1e-9
+    asked = np.full(len(x), -1)
+    asked[queries] = np.arange(len(queries))
+    hits: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
+    asking = np.unique(of[queries])
+    step = max(16, min(256, (1 << 23) // max(len(y), 1)))
+    pairs = []
+    for a in range(0, len(asking), step):
+        q = asking[a : a + step]
+        row, col = np.nonzero(range_search(y, graph, entries, q, wide))
+        row = q[row]
+        gap = np.sqrt(np.maximum(0, ((y[row] - y[col]) ** 2).sum(1)))
+        near = gap <= reach + radius[row] + radius[col] + 1e-9
+        pairs.append(row[near] * len(y) + col[near])
+    # what one lead's search finds holds for both
+    there = np.concatenate(pairs)
+    row, col = np.divmod(np.unique(np.concatenate([there, there % len(y) * len(y) + there // len(y)])), len(y))
+    ends = np.searchsorted(row, np.arange(len(y) + 1))
+    for i in asking:
+        near = col[ends[i] : ends[i + 1]]
+        if not len(near) or len(near) == 1 and near[0] == i and start[i + 1] - start[i] == 1:
+            continue
+        ids = np.sort(np.concatenate([by[start[j] : start[j + 1]] for j in near]))
+        own = by[start[i] : start[i + 1]]
+        own = own[asked[own] >= 0]
+        for n, m in zip(own, x[own] @ x[ids].T >= least - 1e-9, strict=True):
+            got = ids[m]
+            hits[asked[n]] = got[got != n]
     step = max(16, min(256, (1 << 21) // max(len(x), 1)))
-    for a in range(0, len(queries), step):
-        q = queries[a : a + step]
-        got = range_search(x, graph, entries, q, least - 1e-9)
-        got[np.arange(len(q)), q] = False
-        looked = np.arange(a, a + len(q)) % 1000 < audit_share * 1000
-        if looked.any():
-            exact = scan(x, q[looked], least - 1e-9)
-            true += int(exact.sum())
-            found += int((exact & got[looked]).sum())
-        hits += [np.flatnonzero(m) for m in got]
+    looked = np.flatnonzero(np.arange(len(queries)) % 1000 < audit_share * 1000)
+    true = found = 0
+    for a in range(0, len(looked), step):
+        exact = scan(x, queries[looked[a : a + step]], least - 1e-9)
+        true += int(exact.sum())
+        found += sum(int(exact[n, hits[k]].sum()) for n, k in enumerate(looked[a : a + step]))
     if found < true:
         hits = [np.flatnonzero(m) for a in range(0, len(queries), step) for m in scan(x, queries[a : a + step], least - 1e-9)]
     return hits, true, found
@@ -244,10 +324,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, cell: int = CELL, audi
 
         links = np.zeros(len(asks), np.int64)
         for k, (i, h) in enumerate(zip(asks, hits, strict=True)):
+            if not len(h):
+                continue
             h = h[kept[h]]
             h = h[x[h] @ x[i] >= least]
             links[k] = copies[h].sum()
-            for j in h:
+            for j in np.unique(root[h]):
                 a, b = top(i), top(j)
                 if a != b:
                     a, b = (a, b) if ids[a] < ids[b] else (b, a)
