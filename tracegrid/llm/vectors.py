@@ -219,7 +219,7 @@ def search_block(x: np.ndarray, queries: np.ndarray, least: float, audit_share:
     hits: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
     asking = np.unique(of[queries])
     step = max(16, min(256, (1 << 23) // max(len(y), 1)))
-    pairs = []
+    pairs = [np.empty(0, np.int64)]
     for a in range(0, len(asking), step):
         q = asking[a : a + step]
         row, col = np.nonzero(range_search(y, graph, entries, q, wide))
