@@ -225,3 +225,38 @@ def test_silhouette_query_scores_every_point(spark, tmp_path):
     pd.DataFrame({"vec_id": np.arange(4100), "embedding": list(x), "label": label.astype(np.int32)}).to_parquet(tmp_path / "embeddings.parquet")
     want = cluster.silhouette_values(x.astype(float), label).mean()
     assert [tuple(r) for r in queries.QUERIES["silhouette"](spark, str(tmp_path)).collect()] == [(0, 4100, round(want, 6))]
+
+
+def test_best_candidate_by_every_candidate():
+    """The grid's kernel against each candidate sampled and scored on its own."""
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 50, 600).astype(float), rng.normal(size=600)
+    config = replace(EngineConfig(), max_roughness=4.0)
+    sets = [(int(c), n, np.sort(rng.choice(600, s, replace=False))) for n, (c, s) in enumerate(zip(rng.integers(0, 5, 300), rng.integers(1, 90, 300), strict=True))]
+    sets += [(c, n + 300, at) for c, n, at in sets]  # equal points: the first counts
+    sets += [(5, 600, np.arange(11)), (6, 601, np.flatnonzero((x > 10) & (x < 20)))]  # too few, too narrow
+    best = curves.Best(x, y, 50.0, 40, config)
+    want = {}
+    for c, n, at in sets:
+        best.offer(c, n, at)
+        at = at[curves.farthest_points(x[at], y[at], 40)]
+        at = at[np.argsort(x[at], kind="stable")]
+        coverage, rough = np.ptp(x[at]) / 50, curves.roughness_of(x[at], y[at])
+        if len(at) >= 12 and coverage >= 0.4 and rough <= 4.0:
+            want[c] = min(want.get(c, ((1,), None)), ((-len(at), rough, -coverage, n), at), key=lambda w: w[0])
+    best.judge()
+    assert 1 < len(want) and best.best.keys() == want.keys()
+    for c, (rank, at) in want.items():
+        assert best.best[c][0] == rank and best.best[c][1].tolist() == x[at].tolist() and best.best[c][2].tolist() == y[at].tolist()
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the driver's tables are not there")
+def test_auto_query_writes_no_rows_for_candidates(spark, monkeypatch):
+    from tracegrid.plans import queries
+
+    written = {}
+    kept = digitize.materialise
+    monkeypatch.setattr(digitize, "materialise", lambda df, name: written.setdefault(name, kept(df, name)))
+    queries.QUERIES["auto_colours_pipeline"](spark, "/root/testdata/sf0.001")
+    pixels_read = written["curve-pixels"].count()
+    assert all(df.count() <= 2 * pixels_read for df in written.values())

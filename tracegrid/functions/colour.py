@@ -1,7 +1,8 @@
-"""Colour expressions over 8-bit b, g, r columns; all stay in whole-stage code."""
+"""Colour expressions over 8-bit b, g, r columns; all stay in whole-stage code. adjusted_values is the form for kernels."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,3 +139,13 @@ def adjusted(f: tuple[Column, Column, Column], space: str, sat: Column, val: Col
         return clip(light), clip((f[1] - 0.5) * sat + 0.5), clip((f[2] - 0.5) * sat + 0.5)
     mean = (f[0] + f[1] + f[2]) / 3.0
     return tuple(clip(((mean + (c - mean) * sat) * val - 0.5) * contrast + 0.5) for c in f)
+
+
+def adjusted_values(f: np.ndarray, space: str, sat: float, val: float, contrast: float) -> np.ndarray:
+    """adjusted over the rows of an array, in the same order of operations."""
+    clip = lambda c: np.minimum(1.0, np.maximum(0.0, c))
+    if space == "lab":
+        light = (f[:, 0] * val - 0.5) * contrast + 0.5
+        return np.stack([clip(light), clip((f[:, 1] - 0.5) * sat + 0.5), clip((f[:, 2] - 0.5) * sat + 0.5)], 1)
+    mean = (f[:, 0] + f[:, 1] + f[:, 2]) / 3.0
+    return np.stack([clip(((mean + (f[:, i] - mean) * sat) * val - 0.5) * contrast + 0.5) for i in range(3)], 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from itertools import combinations, product
 from math import ceil, floor
 
@@ -48,6 +49,24 @@ def farthest_points(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     return np.array(chosen)
 
 
+def farthest_many(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray], k: int) -> np.ndarray:
+    """farthest_points of many sets of more than k of the points (ascending indices) at once: the indices chosen, a row a set."""
+    size = np.array([len(s) for s in sets])
+    held = np.arange(size.max()) < size[:, None]
+    at = np.zeros(held.shape, np.int64)
+    at[held] = np.concatenate(sets)
+    px, py = x[at], y[at]
+    near = np.where(held, np.inf, -np.inf)
+    line = np.arange(len(sets))
+    last = np.where(held, px, np.inf).argmin(1)
+    chosen = [last]
+    while len(chosen) < k:
+        near = np.minimum(near, (px - px[line, last][:, None]) ** 2 + (py - py[line, last][:, None]) ** 2)
+        last = near.argmax(1)
+        chosen.append(last)
+    return at[line[:, None], np.stack(chosen, 1)]
+
+
 def sample_farthest(points: DataFrame, k: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """At most k points a curve by farthest-point sampling, in the order chosen, then sorted by x."""
 
@@ -258,6 +277,63 @@ def pick_best(candidates: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return candidates.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+class Best:
+    """The best accepted candidate of each curve of an image, as curve_scores and pick_best judge those that are offered. Of equal sets of
+    points the first counts. A set that must have fewer points than the best one so far is not sampled."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, span: float, k: int, config: EngineConfig, monotone: str | None = None) -> None:
+        self.x, self.y, self.span, self.k, self.config, self.monotone = x, y, span, k, config, monotone
+        self.least = max(config.min_points, ceil(config.min_preprune * k))
+        self.best: dict[int, tuple[tuple, np.ndarray, np.ndarray]] = {}
+        self.met: set[tuple[int, bytes]] = set()
+        self.waiting: list[tuple[int, int, np.ndarray]] = []
+        self.cells = 0
+
+    def offer(self, curve: int, cand: int, at: np.ndarray) -> None:
+        """The points at (ascending indices) as a candidate; candidates of a curve come in the order of their numbers."""
+        at = at[:: max(1, ceil(len(at) / self.config.max_points))]
+        if len(at) < self.least or curve in self.best and min(len(at), self.k) < -self.best[curve][0][0]:
+            return
+        mark = (curve, blake2b(at.astype(np.int64).tobytes(), digest_size=16).digest())
+        if mark in self.met:
+            return
+        self.met.add(mark)
+        # samples span no more than their set
+        if (self.x[at].max() - self.x[at].min()) / self.span >= self.config.min_coverage:
+            self.waiting.append((curve, cand, at))
+            self.cells += len(at)
+            if self.cells > 1 << 20:
+                self.judge()
+
+    def judge(self) -> None:
+        """Sample and score what waits, most points first."""
+        waiting, self.waiting, self.cells = sorted(self.waiting, key=lambda w: -len(w[2])), [], 0
+        at = 0
+        while at < len(waiting):
+            most = len(waiting[at][2])
+            part = waiting[at : at + max(1, min(256, (1 << 18) // most))]
+            at += len(part)
+            part = [w for w in part if w[0] not in self.best or min(len(w[2]), self.k) >= -self.best[w[0]][0][0]]
+            long = [w for w in part if len(w[2]) > self.k]
+            chosen = dict(zip(map(id, long), farthest_many(self.x, self.y, [w[2] for w in long], self.k), strict=True)) if long else {}
+            for w in part:
+                self.score(w[0], w[1], chosen.get(id(w), w[2]))
+
+    def score(self, curve: int, cand: int, at: np.ndarray) -> None:
+        x, y = self.x[at], self.y[at]
+        by = np.argsort(x, kind="stable")
+        x, y = x[by], y[by]
+        coverage = (x[-1] - x[0]) / self.span
+        if coverage < self.config.min_coverage:
+            return
+        if self.monotone:
+            y = falling_fit(y) if self.monotone == "pava" else np.minimum.accumulate(y)
+        rough = roughness_of(x, y, self.config.roughness_samples, self.config.roughness_method)
+        rank = (-len(x), rough, -coverage, cand)
+        if rough <= self.config.max_roughness and (curve not in self.best or rank < self.best[curve][0]):
+            self.best[curve] = (rank, x, y)
+
+
 def without_result(asked: DataFrame, results: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The rows of asked whose keys have no row among results: what the next pass tries."""
     return asked.join(results.select(*keys).distinct(), list(keys), "left_anti")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import product
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +16,19 @@ from tracegrid.operators import cluster, curves, pixels
 from tracegrid.session import materialise
 
 
-def finish(points: DataFrame, frames: Frame | DataFrame, options: DigitizeOptions, config: EngineConfig) -> DataFrame:
-    """Pixels of curves (image_id, curve_idx, x, y, pix_idx) to sampled, sorted, optionally monotone curves in data units."""
-    points, frame = pixels.framed(points, frames)
+def on_axes(points: DataFrame, frames: Frame | DataFrame, options: DigitizeOptions) -> DataFrame:
+    """The pixels (x, y) that lie inside the axes, if they must, with x and y in data units."""
+    placed, frame = pixels.framed(points, frames)
     tx, ty = geometry.params(F.col("x"), F.col("y"), frame)
-    placed = points.withColumns({"tx": tx, "ty": ty})
+    placed = placed.withColumns({"tx": tx, "ty": ty})
     if not options.keep_outside_axes:
         placed = placed.filter(geometry.inside(F.col("tx"), F.col("ty")))
-    placed = placed.select("image_id", "curve_idx", F.col("pix_idx").alias("pt_idx"), geometry.to_data(F.col("tx"), frame.xmin, frame.xmax, options.xscale_log).alias("x"), geometry.to_data(F.col("ty"), frame.ymin, frame.ymax, options.yscale_log).alias("y"))
+    return placed.withColumns({"x": geometry.to_data(F.col("tx"), frame.xmin, frame.xmax, options.xscale_log), "y": geometry.to_data(F.col("ty"), frame.ymin, frame.ymax, options.yscale_log)})
+
+
+def finish(points: DataFrame, frames: Frame | DataFrame, options: DigitizeOptions, config: EngineConfig) -> DataFrame:
+    """Pixels of curves (image_id, curve_idx, x, y, pix_idx) to sampled, sorted, optionally monotone curves in data units."""
+    placed = on_axes(points, frames, options).select("image_id", "curve_idx", F.col("pix_idx").alias("pt_idx"), "x", "y")
     out = curves.sample_farthest(curves.stride_decimate(placed, config.max_points), options.k)
     if options.monotone_y:
         out = curves.monotone_pava(out) if options.monotone_method == "pava" else curves.monotone_clip(out)
@@ -95,40 +104,64 @@ def reference_curves(labels: DataFrame, width: int, height: int, radius: int = 2
     return labels.select("image_id", "label", "x", "y").join(moved, ["image_id", "x", "y"])
 
 
+def best_curves(placed: DataFrame, known: DataFrame, options: DigitizeOptions, config: EngineConfig) -> DataFrame:
+    """image_id, curve_idx, pt_idx, x, y: of each centre of an image (known: its centres, normaliser and span of x) the best accepted
+    candidate of the fast grid, else of the full one. A kernel per image tries the grid on its pixels (placed: pix_idx, features,
+    px, py in data units) without a row for each candidate's pixels; each pixel can only be of the curve whose centre is nearest."""
+    monotone = options.monotone_method if options.monotone_y else None
+
+    def kernel(frame: pd.DataFrame, of_image: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame) or not len(of_image):
+            return pixels.nothing("image_id", "curve_idx", "pt_idx", "x", "y")
+        frame, one = frame.sort_values("pix_idx"), of_image.iloc[0]
+        curve = np.array([c["centre"] for c in one["centres"]])
+        centre = np.array([c["c"] for c in one["centres"]], float)
+        f = frame[NAMES].to_numpy(float)
+        offset, scale = (np.array([one[f"{n}_{p}"] for n in NAMES], float) for p in ("offset", "scale"))
+        best = curves.Best(frame["px"].to_numpy(float), frame["py"].to_numpy(float), float(one["span"]), options.k, config, monotone)
+        for axes in (config.fast_grid, config.full_grid):
+            asked = [k for k in range(len(curve)) if k not in best.best]
+            best.met.clear()
+            before = None
+            for cand, values in enumerate(product(*axes.values()) if asked else ()):
+                now = dict(zip(axes, values, strict=True))
+                change = (now["sat"], now["val"], now["contrast"])
+                if change != before:
+                    before = change
+                    unit = (colour.adjusted_values(f, config.feature_space, *change) - offset) / scale
+                    d2 = sum((unit[:, i, None] - centre[:, i]) ** 2 for i in range(len(NAMES)))
+                    nearest = d2.argmin(1)
+                    own = d2[np.arange(len(d2)), nearest]
+                    d2[np.arange(len(d2)), nearest] = np.inf
+                    rest = d2.min(1)
+                    alone, near, far = own < rest, np.sqrt(own), np.sqrt(rest)
+                held = np.flatnonzero(alone & (near <= far * now["ratio"]))
+                code = nearest[held]
+                by = np.argsort(code, kind="stable")
+                ends = np.searchsorted(code[by], np.arange(len(curve) + 1))
+                for k in asked:
+                    best.offer(k, cand, held[by[ends[k] : ends[k + 1]]])
+            best.judge()
+        parts = [pd.DataFrame({"image_id": one["image_id"], "curve_idx": curve[k], "pt_idx": np.arange(1, len(x) + 1), "x": x, "y": y}) for k, (_, x, y) in sorted(best.best.items())]
+        return pd.concat(parts) if parts else pixels.nothing("image_id", "curve_idx", "pt_idx", "x", "y")
+
+    schema = f"image_id {dict(placed.dtypes)['image_id']}, curve_idx int, pt_idx long, x double, y double"
+    return placed.groupBy("image_id").cogroup(known.groupBy("image_id")).applyInPandas(kernel, schema)
+
+
 def auto_colours(table: DataFrame, frames: Frame | DataFrame, width: int | None, height: int | None, options: DigitizeOptions = DigitizeOptions(auto_colors=True), config: EngineConfig = EngineConfig()) -> DataFrame:
     """image_id, curve_idx, pt_idx, x, y: a curve for each colour cluster. The fast grid is tried for all clusters, the full one for
-    those without an accepted candidate; pixels and features are written once and shared by all candidates. Without a width and
-    height the table's own columns of these names tell them."""
+    those without an accepted candidate. Without a width and height the table's own columns of these names tell them."""
     features = clustering_pixels(table, frames, config.axes_margin_cluster, options, config)
     norm, centres, _ = colour_clusters(features, options, config)
     near = materialise(clustering_pixels(table, frames, config.axes_margin_curve, options, config), "curve-pixels")
     box_of = materialise(pixels.legend_box(near, width, height), "legend")
     near = pixels.legend_erase(near, box_of)
+    placed = on_axes(near, frames, options).select("image_id", "pix_idx", *NAMES, F.col("x").alias("px"), F.col("y").alias("py"))
     packed = centres.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("centre", "c"))).alias("centres"))
-    names = NAMES
-
-    def tried(which: DataFrame, axes: dict) -> DataFrame:
-        cands = curves.grid(which.select("image_id", F.col("centre").alias("curve_idx")), axes)
-        joined = near.join(packed, "image_id").join(norm, "image_id").join(cands, "image_id")
-        new = colour.adjusted(tuple(map(F.col, names)), config.feature_space, F.col("sat"), F.col("val"), F.col("contrast"))
-        unit = F.array(*[(c - F.col(f"{n}_offset")) / F.col(f"{n}_scale") for n, c in zip(names, new, strict=True)])
-        joined = joined.withColumn("f", unit)
-        own = F.element_at(F.filter("centres", lambda s: s["centre"] == F.col("curve_idx")), 1)["c"]
-        rest = F.transform(F.filter("centres", lambda s: s["centre"] != F.col("curve_idx")), lambda s: cluster.distance2(F.col("f"), s["c"]))
-        joined = joined.withColumns({"d_own": cluster.distance2(F.col("f"), own), "d_rest": F.coalesce(F.array_min(rest), F.lit(float("inf")))})
-        joined = joined.filter((F.col("d_own") < F.col("d_rest")) & (F.sqrt("d_own") <= F.sqrt("d_rest") * F.col("ratio")))
-        keyed = joined.select("image_id", (F.col("curve_idx") * 100_000 + F.col("cand_id")).alias("curve_idx"), "x", "y", "pix_idx")
-        found = materialise(finish(keyed, frames, options, config), "candidates")
-        scores = curves.curve_scores(*with_limits(found, frames), config).filter("accepted")
-        scores = scores.filter(F.col("n_points") >= F.ceil(F.lit(config.min_preprune) * options.k))
-        scores = scores.withColumns({"cand_id": F.col("curve_idx") % 100_000, "curve_idx": (F.col("curve_idx") / 100_000).cast("int")})
-        best = curves.pick_best(scores).select("image_id", (F.col("curve_idx") * 100_000 + F.col("cand_id")).alias("curve_idx"))
-        picked = found.join(best, ["image_id", "curve_idx"], "left_semi")
-        return picked.withColumn("curve_idx", (F.col("curve_idx") / 100_000).cast("int"))
-
-    first = materialise(tried(centres, config.fast_grid), "pass1")
-    failed = curves.without_result(centres, first.withColumnRenamed("curve_idx", "centre"), ("image_id", "centre"))
-    both = first.unionByName(tried(failed, config.full_grid))
+    known, low, high = with_limits(packed.join(norm, "image_id"), frames)
+    known = known.withColumn("span", (F.lit(high) if isinstance(high, float) else F.col(high)) - (F.lit(low) if isinstance(low, float) else F.col(low)))
+    both = materialise(best_curves(placed, known, options, config), "picked")
     if options.prune_auto:
         both = curves.per_curve(both, lambda x, y: curves.prune_rolling(*curves.prune_spikes(x, y, config), config))
     return closed(curves.settle_image(both, config), frames, options)
