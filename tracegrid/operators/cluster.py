@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracegrid.config import EngineConfig
 from tracegrid.operators.pixels import nothing, relabel
-from tracegrid.session import materialise
+from tracegrid.session import materialise, spread
 
 
 def distance2(a: str | Column, b: str | Column) -> Column:
@@ -222,7 +222,7 @@ def discover_labels(features: DataFrame, names: list[str], key: str = "image_id"
         return out
 
     schema = f"{key} {dict(features.dtypes)[key]}, x int, y int, pix_idx long, centre int, c array<double>, k int, score double"
-    return features.select(key, "x", "y", "pix_idx", *names).groupBy(key).applyInPandas(kernel, schema)
+    return spread(features.select(key, "x", "y", "pix_idx", *names), key).groupBy(key).applyInPandas(kernel, schema)
 
 
 def centres_of(found: DataFrame, key: str = "image_id") -> DataFrame:

@@ -13,7 +13,7 @@ from tracegrid.config import DigitizeOptions, EngineConfig
 from tracegrid.functions import colour, geometry
 from tracegrid.functions.geometry import Frame
 from tracegrid.operators import cluster, curves, pixels
-from tracegrid.session import materialise
+from tracegrid.session import materialise, spread
 
 
 def on_axes(points: DataFrame, frames: Frame | DataFrame, options: DigitizeOptions) -> DataFrame:
@@ -146,7 +146,7 @@ def best_curves(placed: DataFrame, known: DataFrame, options: DigitizeOptions, c
         return pd.concat(parts) if parts else pixels.nothing("image_id", "curve_idx", "pt_idx", "x", "y")
 
     schema = f"image_id {dict(placed.dtypes)['image_id']}, curve_idx int, pt_idx long, x double, y double"
-    return placed.groupBy("image_id").cogroup(known.groupBy("image_id")).applyInPandas(kernel, schema)
+    return spread(placed, "image_id").groupBy("image_id").cogroup(spread(known, "image_id").groupBy("image_id")).applyInPandas(kernel, schema)
 
 
 def auto_colours(table: DataFrame, frames: Frame | DataFrame, width: int | None, height: int | None, options: DigitizeOptions = DigitizeOptions(auto_colors=True), config: EngineConfig = EngineConfig()) -> DataFrame:
