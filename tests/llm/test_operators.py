@@ -303,6 +303,26 @@ def test_plan_is_best_fit():
             assert at <= room
 
 
+def test_packing_words_of_letters(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 50)
+    words_ = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    whole = words_.tokenizer
+    letters = "abcZÀÉßÿªºµæé"
+    around = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0«\xa0\u0301\u0338İſΣςłﬁ日\U0001f600\t\x1c\u2028"
+    rng = random.Random(8)
+    some = ["", "'s", "it's", "'tis", "<|endoftext|>", "(<|endoftext|>)", "a<|startoftext|>b", "e\u0301", ".\u0338", "aaa\u0345", "x" * 70, "Ends.&&&", "İ.", "ªº", "ΟΔΟΣ", "ŉ", "don't!", "--", "42", "a1b"]
+    some += ["".join(rng.choice(letters + around * (k % 3 == 0)) for _ in range(rng.randint(1, 7))) for k in range(3000)]
+    some += [rng.choice(around) + "".join(rng.choice(letters) for _ in range(4)) + rng.choice(around) * 2 for _ in range(3000)]
+    some += [a + "b" + c for a in map(chr, range(32, 0x250)) for c in ("", "é")] + ["é" + a for a in map(chr, range(32, 0x250))]
+    for w in some:
+        assert np.frombuffer(words_.encode(w), "<u4").tolist() == whole.encode(w, add_special_tokens=False).ids, ascii(w)
+    text = " ".join(some)
+    assert np.frombuffer(words_.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    # words of letters, with punctuation around them or not, do without the whole tokenizer
+    known, words_.new, words_.old, words_.tokenizer = whole.encode("Plain ÉTÉ, words:", add_special_tokens=False).ids, {",": words_.word(","), ":": words_.word(":")}, {}, None
+    assert np.frombuffer(words_.encode("Plain ÉTÉ, words:"), "<u4").tolist() == known
+
+
 def test_packing(docs, plain):
     from tokenizers import Tokenizer
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -16,6 +17,26 @@ from tracegrid.llm.text import clean, map_rows
 from tracegrid.session import materialise, ship
 
 CACHE = 300_000
+#: Punctuation that letters are parted from; not the apostrophe (contractions) nor what begins and ends a special token.
+AROUND = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: The characters that byte-level models have for bytes: those that print are themselves, the others follow from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
+#: The steps around a model whose words of letters can go to it straight away.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 
 
 def plan(counts: dict[int, int], room: int) -> dict[int, list[tuple[int, int, int]]]:
@@ -58,32 +79,46 @@ def plan(counts: dict[int, int], room: int) -> dict[int, list[tuple[int, int, in
 
 
 class WordIds:
-    """Ids of a text by a tokenizer that splits at white space: words between plain spaces are encoded once while cached."""
+    """Ids of a text by a tokenizer that splits at white space: words between plain spaces are encoded once while cached. Where the
+    tokenizer is one of NFC, lower case, letter runs, bytes and a BPE model, letters of Latin-1 between punctuation go to its model."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.model = self.tokenizer.model if told["model"]["type"] == "BPE" and all(told[k] == v for k, v in STEPS.items()) else None
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
+        found = self.new.get(word)
+        if found is not None:
+            return found
         found = self.old.get(word)
         if found is None:
-            found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            found = self.fresh(word)
         if len(word) <= 64:
             if len(self.new) >= CACHE:
                 self.old, self.new = self.new, {}
             self.new[word] = found
         return found
 
+    def fresh(self, word: str) -> bytes:
+        core = word.strip(AROUND)
+        # NFC leaves Latin-1 alone, and a run of letters is split from punctuation on either side
+        if self.model is None or not core.isalpha() or not (core.isascii() or max(core) <= "\xff"):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        low = core.lower()
+        if low != word:
+            head, _, tail = word.partition(core)
+            return b"".join([self.word(part) for part in (head, low, tail) if part])
+        spelt = low if low.isascii() else low.encode().decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
     def encode(self, text: str) -> bytes:
-        out = []
-        for w in text.replace("\n", " ").split(" "):
-            if w:
-                got = self.new.get(w)
-                out.append(self.word(w) if got is None else got)
-        return b"".join(out)
+        get, word = self.new.get, self.word
+        return b"".join([get(w) or word(w) for w in text.replace("\n", " ").split(" ")])
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
